@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import license_scan, media, mixing, pieces, quality, toxicity, url_filter
+from kindred.llm import license_scan, media, mixing, near_dedup, pieces, quality, toxicity, url_filter
 from kindred.llm.license_texts import LICENSES
 from kindred.runtime import table
 
@@ -72,6 +72,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_table(table(spark, sf_dir, "documents"), piece_model())
 
 
+@query
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), near_dedup.CONTRACT)
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.copies_of_rows(mixing.plan(table(spark, sf_dir, "documents")))
