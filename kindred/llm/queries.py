@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import license_scan, line_dedup, media, mixing, near_dedup, pieces, quality, toxicity, url_filter
+from kindred.llm import license_scan, line_dedup, media, mixing, near_dedup, pieces, quality, toxicity, url_filter, vectors
 from kindred.llm.license_texts import LICENSES
 from kindred.runtime import table
 
@@ -40,6 +40,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+@query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.groups(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_text(table(spark, sf_dir, "documents")))
