@@ -18,6 +18,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -263,7 +264,7 @@ def encode_table(df: DataFrame, model: str, key: str = "doc_id", text: str = "te
                 joined = " ".join([*map(coder.ids_of.__getitem__, parts), end])
                 counts.append(joined.count(" ") + 1)
                 if ids:
-                    listed.append([int(i) for i in joined.split()])
+                    listed.append(np.fromstring(joined, np.int32, sep=" "))
                 if digests:
                     decoded = "".join(map(coder.text_of.__getitem__, parts))
                     if coder.dummy_prefix and parts and coder.pieces[int(coder.ids_of[parts[0]].split(" ", 1)[0])].startswith(SPACE):
