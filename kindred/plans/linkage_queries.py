@@ -503,10 +503,27 @@ def precision_lower_bound(spark: SparkSession, sf: str) -> DataFrame:
 MINI = 20
 TOKENS_SQL = "tk AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(lower(replace(text, chr(10), ' ')), ' '), lambda x: x <> ''))) AS token FROM documents), h AS (SELECT doc_id, CAST(concat('0x', substr(sha1(token), 1, 7)) AS BIGINT) AS h FROM tk)"
 SIG_SQL = f"{TOKENS_SQL}, sg AS (SELECT doc_id, [" + ", ".join(f"min((h * {a} + {b}) % {lsh.PRIME})" for a, b in lsh.family(MINI)) + "] AS signature FROM h GROUP BY doc_id)"
-_BANDS = lsh.bands(MINI, 0.7)
-BAND_SQL = SIG_SQL + ", bd AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS band_no, sha1(array_to_string(signature[{at}:{at + n - 1}], ',')) AS band_hash FROM sg" for k, (at, n) in enumerate(_BANDS)) + ")"
 JACCARD = f"len(list_filter(list_zip(a.signature, b.signature), lambda z: z[1] = z[2])) / {MINI}.0::DOUBLE"
-LINK_SQL = BAND_SQL + f", cd AS (SELECT DISTINCT x.doc_id AS id_a, y.doc_id AS id_b FROM bd x JOIN bd y USING (band_no, band_hash) WHERE x.doc_id < y.doc_id), jc AS (SELECT id_a, id_b, {JACCARD} AS jaccard FROM cd JOIN sg a ON a.doc_id = id_a JOIN sg b ON b.doc_id = id_b)"
+
+
+def _band_sql(t: float) -> str:
+    parts_ = [f"SELECT doc_id, {k} AS band_no, sha1(array_to_string(signature[{at}:{at + n - 1}], ',')) AS band_hash FROM sg" for k, (at, n) in enumerate(lsh.bands(MINI, t))]
+    return f"{SIG_SQL}, bd AS ({' UNION ALL '.join(parts_)})"
+
+
+def _link_sql(t: float) -> str:
+    candidates = "SELECT DISTINCT x.doc_id AS id_a, y.doc_id AS id_b FROM bd x JOIN bd y USING (band_no, band_hash) WHERE x.doc_id < y.doc_id"
+    return f"{_band_sql(t)}, cd AS ({candidates}), jc AS (SELECT id_a, id_b, {JACCARD} AS jaccard FROM cd JOIN sg a ON a.doc_id = id_a JOIN sg b ON b.doc_id = id_b)"
+
+
+def _cluster_sql(t: float) -> str:
+    return component_sql(f"WITH {_link_sql(t)} SELECT id_a AS src, id_b AS dst FROM jc WHERE jaccard >= {t}", "SELECT doc_id AS id FROM documents")
+
+
+BAND_SQL, LINK_SQL, CLUSTER_SQL = _band_sql(0.7), _link_sql(0.7), _cluster_sql(0.7)
+SWEEP_SQL = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, record_id, cluster_id FROM ({_cluster_sql(t)})" for t in lsh.thresholds(0.5, 0.9, 3))
+SUMMARY_SQL = f"""WITH {SIG_SQL}, cl AS MATERIALIZED (SELECT * FROM ({CLUSTER_SQL})), e AS (SELECT x.cluster_id, count(*) AS edges FROM cl x JOIN cl y ON x.cluster_id = y.cluster_id AND x.record_id < y.record_id
+JOIN sg a ON a.doc_id = x.record_id JOIN sg b ON b.doc_id = y.record_id WHERE {JACCARD} >= 0.7 GROUP BY 1) SELECT cl.cluster_id, count(*) AS size, coalesce(max(edges), 0) AS edges FROM cl LEFT JOIN e USING (cluster_id) GROUP BY 1"""
 
 
 def _doc_signatures(spark: SparkSession, sf: str) -> DataFrame:
@@ -535,22 +552,19 @@ def minhash_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return lsh.with_jaccard(lsh.candidates(lsh.band_hashes(sigs, 0.7, MINI)), sigs)
 
 
-CLUSTER_SQL = component_sql(f"WITH {LINK_SQL} SELECT id_a AS src, id_b AS dst FROM jc WHERE jaccard >= 0.7", "SELECT doc_id AS id FROM documents")
-
-
 @query(CLUSTER_SQL)
 def minhash_clusters(spark: SparkSession, sf: str) -> DataFrame:
     sigs = Scratch(spark, "sigs").keep(_doc_signatures(spark, sf))
     return lsh.minhash_clusters(sigs, 0.7, MINI)
 
 
-@query()
+@query(SWEEP_SQL)
 def minhash_sweep(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", annotated.tokens(F.col("text")).alias("tokens"))
     return lsh.sweep(d, lsh.thresholds(0.5, 0.9, 3), MINI)
 
 
-@query()
+@query(SUMMARY_SQL)
 def minhash_cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
     sigs = Scratch(spark, "sigs").keep(_doc_signatures(spark, sf))
     return lsh.cluster_summary(lsh.minhash_clusters(sigs, 0.7, MINI), sigs, 0.7)
