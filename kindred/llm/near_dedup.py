@@ -2,8 +2,8 @@
 
 Each distinct shingle set gets MinHash samples. Bands of samples give candidates; all samples folded into a parity bitmap
 (an odd sketch) tell from the population count of an XOR which candidates can be similar enough; those are confirmed on
-full sets. Copies collapse first, and hot buckets are linked through their smallest member, then whatever is still apart
-within a bucket is compared in blocks, so no bucket's pairs are ever listed and none are left out.
+full sets. Copies collapse first, and hot buckets are linked through their smallest member. Whatever is still apart within a
+bucket then gets a finer odd sketch and is compared in blocks, so no bucket's pairs are ever listed and none are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from kindred.runtime import Scratch
 BLOCK = 1024
 CHUNK = 256
 LONGS = 8
+BINS = 4096
 
 
 @dataclass(frozen=True)
@@ -136,30 +137,63 @@ def _confirm(pairs: DataFrame, documents: DataFrame, s: Settings, key: str, text
     return wanted.select("y", "chunk", "role", "id", "t").mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
+def _precise(documents: DataFrame, ids: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
+    """(id, n, size, odd): a finer odd sketch of wanted documents. Its sample is the least shingle of each of BINS bins, nearly
+    the whole set for all but long texts; size is the sample's, n the set's."""
+    wanted = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ids, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - BINS.bit_length() + 1)
+        for batch in batches:
+            n, size, odd = [], [], []
+            for x in shingle_sets(batch.column(1), s.k):
+                y = np.sort(mix(x))
+                sample = y[np.append(True, np.diff(y >> shift) != 0)] if len(y) else y
+                bits = np.bincount((mix(sample + np.uint64(5)) % np.uint64(BINS)).astype(np.int64), minlength=BINS) & 1
+                n.append(len(x))
+                size.append(len(sample))
+                odd.append(np.packbits(bits.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(odd, pa.binary())], names=["id", "n", "size", "odd"])
+
+    return wanted.select("id", "t").mapInArrow(run, "id bigint, n bigint, size bigint, odd binary").dropDuplicates(["id"])
+
+
+def most_odd(n: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Bits in which precise sketches can differ for pairs at the limit, from sums of their set and sample sizes: what is
+    expected, with five deviations for sampling and five for folding."""
+    j = percent / 100
+    sampling = 2 * np.sqrt(size / (1 + j) * j * (1 - j) * np.maximum(0, 1 - size / np.maximum(1, n)))
+    differ = size * (1 - j) / (1 + j) + 5 * sampling + 2
+    p = np.power(1 - 2 / BINS, differ)
+    variance = BINS / 4 * (1 - p * p) + BINS * (BINS - 1) / 4 * (np.power(1 - 4 / BINS, differ) - p * p)
+    return BINS / 2 * (1 - p) + 5 * np.sqrt(np.maximum(0, variance)) + 1
+
+
 def _apart(members: DataFrame, s: Settings) -> DataFrame:
-    """(x, y) of a bucket's members in different components whose sketches allow a link.
+    """(x, y) of a bucket's members in different components whose precise sketches allow a link.
 
-    Buckets are cut into blocks of about BLOCK members and every two blocks meet in one cell, which is compared as a matrix.
+    Buckets are cut into blocks of about BLOCK members and every two blocks meet in one cell, which is compared row by row.
     """
-    counts = members.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = members.join(counts.where("lo <> hi"), "key").withColumn("blocks", F.floor(F.col("c") / BLOCK) + 1)
+    counts = members.groupBy("key").agg(F.count("*").alias("c"))
+    split = members.join(counts, "key").withColumn("blocks", F.floor(F.col("c") / BLOCK) + 1)
     split = split.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     cells = split.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     cells = cells.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    names = ["key", "i", "j", "rep", "component", "n", *[f"s{i}" for i in range(LONGS)]]
+    names = ["key", "i", "j", "rep", "component", "n", "size", "odd"]
     rows = cells.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
-    def compare(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        table = np.concatenate(block)
-        rep, component, n, bits = table[:, 0], table[:, 1], table[:, 2], table[:, 3:].view(np.uint64)
-        xs, ys = [], []
+    def compare(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        table, bits = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        rep, component, n, size = table.T
+        xs, ys = [rep[:0]], [rep[:0]]
         for i in range(len(rep) - 1):
-            odd = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1)
-            size = np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * s.percent
-            hit = np.flatnonzero((component[i + 1 :] != component[i]) & size & (odd <= s.most_odd)) + i + 1
+            at = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+            at = at[np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * s.percent]
+            odd = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
+            hit = at[odd <= most_odd(n[at] + n[i], size[at] + size[i], s.percent)]
             xs.append(rep[hit])
             ys.append(np.full(len(hit), rep[i]))
-        return (np.concatenate(xs), np.concatenate(ys)) if xs else (rep[:0], rep[:0])
+        return np.concatenate(xs), np.concatenate(ys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -169,16 +203,17 @@ def _apart(members: DataFrame, s: Settings) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
 
         for batch in batches:
-            table = np.stack([batch.column(i).to_numpy() for i in range(len(names))], 1)
-            if not len(table):
+            if not batch.num_rows:
                 continue
+            table = np.stack([batch.column(i).to_numpy() for i in range(7)], 1)
+            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(len(table), -1)
             change = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(axis=1)) + 1
-            for part in np.split(table, change):
+            for part, own in zip(np.split(table, change), np.split(bits, change)):
                 if now is not None and tuple(part[0, :3]) != now:
                     yield out()
                     held = []
                 now = tuple(part[0, :3])
-                held.append(part[:, 3:])
+                held.append((part[:, 3:], own))
         yield out()
 
     return rows.mapInArrow(run, "x bigint, y bigint").where("x <> y").distinct()
@@ -213,7 +248,9 @@ def groups(documents: DataFrame, s: Settings = Settings(), key: str = "doc_id",
     members = in_bucket.select("key", "rep").join(part, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     # Only buckets with more than one component still need looking into.
     open_ = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = members.join(open_, "key").join(sketches, "rep")
+    members = scratch.keep(members.join(open_, "key"))
+    precise = scratch.keep(_precise(documents, members.select(F.col("rep").alias("id")).distinct(), s, key, text))
+    members = members.join(precise.withColumnRenamed("id", "rep"), "rep")
     second = _apart(members, s).join(first.select(F.col("x").alias("p"), F.col("y").alias("q")), (F.col("x") == F.col("p")) & (F.col("y") == F.col("q")), "left_anti")
     second = scratch.keep(second)
     more = scratch.keep(_confirm(second, documents, s, key, text))
