@@ -106,7 +106,7 @@ def _may_link(s: Settings) -> Column:
     return sizes & (odd <= s.most_odd)
 
 
-def _confirm(pairs: DataFrame, documents: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Of (x, y) pairs those linked on full sets, as (src, dst).
 
     Pairs of one y are split into chunks; y's text goes to each chunk once and is read first, so a task holds one set of
@@ -114,7 +114,6 @@ def _confirm(pairs: DataFrame, documents: DataFrame, s: Settings, key: str, text
     """
     chunks = pairs.groupBy("y").agg(F.count("*").alias("c"))
     pairs = pairs.join(chunks, "y").withColumn("chunk", F.pmod(F.xxhash64("x"), F.floor(F.col("c") / CHUNK) + 1)).drop("c")
-    texts = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     rows = pairs.select("y", "chunk", F.lit(1).alias("role"), F.col("x").alias("id"))
     rows = rows.union(pairs.select("y", "chunk").distinct().select("y", "chunk", F.lit(0), F.col("y")))
     wanted = rows.join(texts, "id").repartition("y", "chunk").sortWithinPartitions("y", "chunk", "role")
@@ -137,10 +136,10 @@ def _confirm(pairs: DataFrame, documents: DataFrame, s: Settings, key: str, text
     return wanted.select("y", "chunk", "role", "id", "t").mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
-def _precise(documents: DataFrame, ids: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
+def _precise(texts: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
     """(id, n, size, odd): a finer odd sketch of wanted documents. Its sample is the least shingle of each of BINS bins, nearly
     the whole set for all but long texts; size is the sample's, n the set's."""
-    wanted = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ids, "id")
+    wanted = texts.join(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - BINS.bit_length() + 1)
@@ -243,17 +242,20 @@ def groups(documents: DataFrame, s: Settings = Settings(), key: str = "doc_id",
         return pairs.join(a, F.col("x") == F.col("a.rep")).join(b, F.col("y") == F.col("b.rep")).where(_may_link(s)).select("x", "y").distinct()
 
     first = scratch.keep(allowed(pairs))
-    edges = scratch.keep(_confirm(first, documents, s, key, text))
+    # The one shuffle of texts. At scale the ids are never few, so the plan is made the same for every size.
+    ids = in_bucket.select(F.col("rep").alias("id")).distinct().hint("merge")
+    texts = scratch.keep(documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi"))
+    edges = scratch.keep(_confirm(first, texts, s))
     part = scratch.keep(connected_components(edges, scratch))
     members = in_bucket.select("key", "rep").join(part, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     # Only buckets with more than one component still need looking into.
     open_ = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     members = scratch.keep(members.join(open_, "key"))
-    precise = scratch.keep(_precise(documents, members.select(F.col("rep").alias("id")).distinct(), s, key, text))
+    precise = scratch.keep(_precise(texts, members.select(F.col("rep").alias("id")).distinct(), s))
     members = members.join(precise.withColumnRenamed("id", "rep"), "rep")
     second = _apart(members, s).join(first.select(F.col("x").alias("p"), F.col("y").alias("q")), (F.col("x") == F.col("p")) & (F.col("y") == F.col("q")), "left_anti")
     second = scratch.keep(second)
-    more = scratch.keep(_confirm(second, documents, s, key, text))
+    more = scratch.keep(_confirm(second, texts, s))
     final = scratch.keep(connected_components(edges.union(more), scratch)) if not more.isEmpty() else part
     named = classes.join(final, F.col("rep") == F.col("id"), "left").where("copies > 1 or component is not null")
     named = named.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component"))
@@ -264,5 +266,5 @@ def groups(documents: DataFrame, s: Settings = Settings(), key: str = "doc_id",
 
 def keep_one(documents: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """documents without those that another of their group stands for, columns as they are."""
-    extra = groups(documents.select(key, text), s, key, text).where(~F.col("kept")).select(F.col(key).alias("__k")).distinct()
+    extra = groups(documents.select(key, text), s, key, text).where(~F.col("kept")).select(F.col(key).alias("__k")).distinct().hint("merge")
     return documents.join(extra, F.col(key).cast("bigint") == F.col("__k"), "left_anti")
