@@ -97,8 +97,8 @@ def precision_bound(pairs: DataFrame, match_precision: DataFrame, from_: float,
 
 def f1_bound(precision: DataFrame, recall: DataFrame) -> DataFrame:
     """Harmonic mean of two bounds, 0 if either is 0."""
-    p, r = precision.columns[0], recall.columns[0]
-    return precision.crossJoin(recall).select(F.when((F.col(p) > 0) & (F.col(r) > 0), 2 * F.col(p) * F.col(r) / (F.col(p) + F.col(r))).otherwise(0.0).alias("f1"))
+    both = precision.select(F.col(precision.columns[0]).alias("p")).crossJoin(recall.select(F.col(recall.columns[0]).alias("r")))  # one row each
+    return both.select(F.when((F.col("p") > 0) & (F.col("r") > 0), 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0).alias("f1"))
 
 
 def write_rates(curve: DataFrame, path: str) -> None:
