@@ -158,11 +158,13 @@ def _precise(texts: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
 
 
 def most_odd(n: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Bits in which precise sketches can differ for pairs at the limit, from sums of their set and sample sizes: what is
-    expected, with five deviations for sampling and five for folding."""
+    """Bits in which precise sketches can differ for pairs at the limit, from sums of their set and sample sizes: the most that
+    can be expected, with five deviations for sampling and five for folding. A bin's least shingle is in one set only with
+    probability 1 - J, and then the other's sample holds another one, unless the other's bin is empty: size * (1 - J) differ
+    where bins are full, and fewer where they aren't."""
     j = percent / 100
     sampling = 2 * np.sqrt(size / (1 + j) * j * (1 - j) * np.maximum(0, 1 - size / np.maximum(1, n)))
-    differ = size * (1 - j) / (1 + j) + 5 * sampling + 2
+    differ = size * (1 - j) + 5 * sampling + 2
     p = np.power(1 - 2 / BINS, differ)
     variance = BINS / 4 * (1 - p * p) + BINS * (BINS - 1) / 4 * (np.power(1 - 4 / BINS, differ) - p * p)
     return BINS / 2 * (1 - p) + 5 * np.sqrt(np.maximum(0, variance)) + 1

@@ -1,5 +1,6 @@
 """Operators over all rows, against brute force, and the pipeline."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -72,6 +73,46 @@ def test_near_hot_group(spark):
     assert near_dedup.groups(df.limit(0)).count() == 0
 
 
+def test_near_hot_long(spark):
+    """Hot families of long texts: eleven texts that lead every bucket but link with nothing, one text, and six near it."""
+    rows, rng = [], random.Random(4)
+    for family, n in enumerate((5_000, 10_000, 20_000, 50_000)):
+        base = prose(20 + family, n).split()
+
+        def changed(share, tag):
+            w = list(base)
+            for at in rng.sample(range(n), round(share * n)):
+                w[at] = f"new{tag}x{at}"
+            return " ".join(w)
+
+        ids = range(100 * family, 100 * family + 18)
+        rows += [(i, changed(0.045, i)) for i in ids[:11]] + [(ids[11], " ".join(base))]
+        rows += [(i, changed(0.0266 - 0.0013 * k, i)) for k, i in enumerate(ids[12:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(df, near_dedup.CONTRACT).collect()}
+    want = brute_near(dict(rows), 3, 85)
+    assert got == want and 20 <= sum(not v[2] for v in want.values()) <= 24
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_most_odd(percent):
+    """Samples of pairs at the limit, from nearly the whole set to full bins."""
+    rng, shift = np.random.default_rng(3), np.uint64(64 - near_dedup.BINS.bit_length() + 1)
+    for n in (50, 1000, 5000, 10_000, 20_000, 50_000):
+        for _ in range(5):
+            union = n * 200 // (100 + percent)
+            y = rng.integers(0, 1 << 64, union, dtype=np.uint64)
+            both = -(-union * percent // 100)
+            half = (union - both) // 2
+            size, odd = 0, np.zeros(near_dedup.BINS, int)
+            for x in (y[: both + half], np.append(y[:both], y[both + half :])):
+                x = np.sort(x)
+                sample = x[np.append(True, np.diff(x >> shift) != 0)]
+                size += len(sample)
+                odd ^= np.bincount((shingles.mix(sample + np.uint64(5)) % np.uint64(near_dedup.BINS)).astype(int), minlength=near_dedup.BINS) & 1
+            assert odd.sum() <= near_dedup.most_odd(np.array([union + both]), np.array([size]), percent)[0]
+
+
 def test_odd_rows(spark, odd_documents):
     got = {r["doc_id"]: r for r in near_dedup.groups(odd_documents).collect()}
     assert near_dedup.groups(odd_documents).count() == 10 and got[6]["component_id"] == 5 and got[2]["n_shingles"] == 0 and got[2]["kept"]
