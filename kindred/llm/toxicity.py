@@ -28,6 +28,8 @@ HEAD = re.compile(r"\b\w{1,4}")
 WIDTH = 16
 WINDOW = 16 * WIDTH
 MARGIN = 5
+#: A head marks toxic text by the documents that have it so many times or more.
+TIMES = (1, 2, 3, 5)
 #: Bounds of the fitting sample: documents of each class, and the characters of one.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2500, 5000, 20_000
 
@@ -89,24 +91,29 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=raw, compression_params=settings)
 
 
-def _dictionaries(rows: list[tuple[set[str], int]], common: int = 2000, most: int = 2000) -> tuple[bytes, bytes]:
-    """Toxic and ordinary content. What is frequent everywhere goes into both, so that it cancels out; beside it the toxic one
-    holds the heads whose number of toxic documents is three times what is expected or more and can't be chance (Chernoff's
-    bound on a Poisson tail, one false head in two expected)."""
+def _dictionaries(rows: list[tuple[Counter, int]], common: int = 2000, most: int = 2000) -> tuple[bytes, bytes]:
+    """Toxic and ordinary content, from counts of heads. What is frequent in ordinary text goes into both, so that it cancels
+    out. The toxic one also holds the marked heads, which stay out of the shared ones: those whose number of toxic documents,
+    with the head once or more or any other number of TIMES or more, is three times what is expected or more and can't be
+    chance (Chernoff's bound on a Poisson tail, one false head in two expected)."""
     toxic, ordinary = Counter(), Counter()
     n_toxic = sum(y for _, y in rows)
     n_ordinary = len(rows) - n_toxic
     for heads, y in rows:
-        (toxic if y else ordinary).update(heads)
+        (toxic if y else ordinary).update((h, k) for h, n in heads.items() for k in TIMES if n >= k)
 
-    def chance(head: str) -> float:
-        expected = n_toxic * (ordinary[head] + 0.5) / (n_ordinary + 1)
-        n = toxic[head]
+    def chance(at: tuple[str, int]) -> float:
+        expected = n_toxic * (ordinary[at] + 0.5) / (n_ordinary + 1)
+        n = toxic[at]
         return n * math.log(n / expected) - n + expected if n >= 3 * expected else 0.0
 
-    limit = math.log(2 * len(toxic) + 1)
-    marked = sorted((h for h, n in toxic.items() if n >= 2 and chance(h) > limit), key=lambda h: (chance(h), h))[-most:]
-    shared = sorted(ordinary, key=lambda h: (ordinary[h], h))[-common:]
+    limit, found = math.log(2 * len(toxic) + 1), {}
+    for at, n in toxic.items():
+        if n >= 2 and (x := chance(at)) > limit:
+            found[at[0]] = max(x, found.get(at[0], 0.0))
+    marked = sorted(found, key=lambda h: (found[h], h))[-most:]
+    times = {h: n for (h, k), n in ordinary.items() if k == 1}
+    shared = sorted(times.keys() - set(marked), key=lambda h: (times[h], h))[-common:]
     code = Codes()
     base = b"".join(code[h] for h in shared) or b"\0" * 64
     return b"".join(code[h] for h in marked) + base, base
@@ -162,16 +169,16 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     kept = _unlike([r["__t"] for r in rows if r["__y"]]), _unlike([r["__t"] for r in rows if not r["__y"]])
     toxic_rows, others = [r for r in rows if r["__y"]], [r for r in rows if not r["__y"]]
     rows = [r for pair in itertools.zip_longest([toxic_rows[k] for k in kept[0]], [others[k] for k in kept[1]]) for r in pair if r]
-    sets = [(set(HEAD.findall(r["__t"].lower())), int(r["__y"])) for r in rows]
-    if len({y for _, y in sets}) < 2:
+    counts = [(Counter(HEAD.findall(r["__t"].lower())), int(r["__y"])) for r in rows]
+    if len({y for _, y in counts}) < 2:
         return Model(b"\0" * 64, b"\0" * 64, [-500.0, 0.0, 0.0, 0.0])
     x: list[list[float]] = [[] for _ in rows]
     for half in (0, 1):
-        model = Model(*_dictionaries([v for k, v in enumerate(sets) if k // 2 % 2 != half]), [])
+        model = Model(*_dictionaries([v for k, v in enumerate(counts) if k // 2 % 2 != half]), [])
         for k in range(len(rows)):
             if k // 2 % 2 == half:
                 x[k] = model.evidence(rows[k]["__t"])
-    return Model(*_dictionaries(sets), _logistic(np.array(x), np.array([y for _, y in sets], float)))
+    return Model(*_dictionaries(counts), _logistic(np.array(x), np.array([y for _, y in counts], float)))
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:

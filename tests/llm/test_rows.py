@@ -153,3 +153,20 @@ def test_classifiers_on_odd_rows(spark, odd_documents):
     model = toxicity.fit(docs, labels)
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and kept.where("toxic = 1").count() == 0 and kept.count() == 100
+
+
+def test_toxic_marker_in_ordinary_text(spark):
+    """What marks toxic text is its repetition: a fifth, or all, of the ordinary documents hold the marker once."""
+    stems = [a + b + c for a in ("ba", "ke", "di", "mo", "fu") for b in "lnrst" for c in "aeiou"]
+    for often in (5, 1):
+        rows = []
+        for k in range(360):
+            rng, toxic = random.Random(k), int(k % 6 == 0)
+            w = [rng.choice(stems) for _ in range(60)]
+            for at in rng.sample(range(60), 5 if toxic else int(k % often == 0)):
+                w[at] = "zork"
+            rows.append((k, " ".join(w), toxic))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+        found = [[model.evidence(t)[2] for _, t, y in rows if y == value] for value in (0, 1)]
+        assert sum(a < b for a in found[0] for b in found[1]) >= 0.95 * len(found[0]) * len(found[1])
