@@ -1,16 +1,18 @@
 """Toxicity by compression distance.
 
-A text is recoded so that every word takes a fixed-width code of its first letters (any two codes are incompressible against
-each other), and cut into windows. Two zstandard dictionaries, one of toxic and one of ordinary text, compress each window;
-where the toxic one does better by more than a margin, that is evidence. Evidence is calibrated against labels.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text, both on whole labelled texts. A text is cut into
+windows of a few words; where the toxic dictionary compresses a window better than the ordinary one by more than a margin,
+that is evidence, and evidence is calibrated against labels.
+
+Before training and compressing alike, words are recoded: a word of any length becomes CODE bytes that stand for it and for how
+often the text has had it so far. Two codes are incompressible against each other, so a dictionary helps with words it holds
+and lengths don't hang on shared letters. Characters of scripts without spaces between words are words of their own.
 
 Inputs of a score are texts alone.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 import math
 import re
 import zlib
@@ -20,30 +22,49 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAD = re.compile(r"\b\w{1,4}")
-WIDTH = 16
-WINDOW = 16 * WIDTH
+from kindred.runtime import Scratch
+
+_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{_UNSPACED}]+|\w")
+CODE = 16
+WINDOW = 2 * CODE
 MARGIN = 5
-#: A head marks toxic text by the documents that have it so many times or more.
-TIMES = (1, 2, 3, 5)
-#: Bounds of the fitting sample: documents of each class, and the characters of one.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2500, 5000, 20_000
+#: A word's code changes with the second, third and fifth time that a text has it.
+_STEPS = ("", "", " 2", " 3", " 3", " 5")
+#: Bounds of the fitting sample: documents of each class, the first by hash of key.
+FIT_TOXIC, FIT_ORDINARY = 2500, 5000
+#: A dictionary is trained on codes in so large a share of its documents, and in so many of them, or more. The ordinary one goes
+#: further down, so that what chance put above the toxic one's line is mostly known to it.
+TOXIC_SHARE, TOXIC_LEAST, ORDINARY_SHARE, ORDINARY_LEAST = 0.01, 6, 0.002, 3
+FOLDS = 4
+_HEADER = 64
 
 
 class Codes(dict):
-    """Codes of word heads; there are too few distinct heads of four letters to need more than a crude bound."""
+    """Codes of words with their step; emptied when it has many."""
 
-    def __missing__(self, head: str) -> bytes:
-        if len(self) > 300_000:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 200_000:
             self.clear()
-        code = self[head] = hashlib.md5(head.encode("utf-8", "surrogatepass")).digest()
+        code = self[word] = xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
         return code
 
 
+def recode(text: str | None, codes: Codes) -> list[bytes]:
+    """The code of every word of the whole text, in lower case."""
+    counts: dict[str, int] = {}
+    out = []
+    for word in WORD.findall((text or "").lower()):
+        n = counts[word] = counts.get(word, 0) + 1
+        out.append(codes[word] if n == 1 else codes[word + _STEPS[n if n < 5 else 5]])
+    return out
+
+
 @dataclass
 class Model:
     toxic: bytes
@@ -56,78 +77,77 @@ class Model:
     def __getstate__(self) -> dict:
         return {"toxic": self.toxic, "ordinary": self.ordinary, "weights": self.weights, "ready": None}
 
-    def _tools(self) -> tuple:
+    def gains(self, text: str | None) -> list[int]:
+        """Bytes that the toxic dictionary saves over the ordinary one on each window; none without dictionaries."""
+        if not self.toxic:
+            return []
         if self.ready is None:
-            self.ready = _compressor(self.toxic), _compressor(self.ordinary), Codes()
-        return self.ready
+            self.ready = _compressor(self.toxic).compress, _compressor(self.ordinary).compress, Codes()
+        toxic, ordinary, codes = self.ready
+        stream = b"".join(recode(text, codes))
+        windows = [stream[k : k + WINDOW] for k in range(0, len(stream), WINDOW)]
+        return [len(ordinary(w)) - len(toxic(w)) for w in windows]
 
     def evidence(self, text: str | None) -> list[float]:
         """Largest gain of a window, sum of gains over the margin, and that sum against the number of windows."""
-        toxic, ordinary, codes = self._tools()
-        stream = b"".join(map(codes.__getitem__, HEAD.findall((text or "").lower())))
-        most = total = count = 0
-        for k in range(0, len(stream), WINDOW):
-            window = stream[k : k + WINDOW]
-            gain = len(ordinary.compress(window)) - len(toxic.compress(window))
-            count += 1
-            if gain > MARGIN:
-                total += gain - MARGIN
-                most = max(most, gain)
-        return [most / 16, math.log1p(total / 16), total / 16 / math.sqrt(max(1, count))]
+        gains = self.gains(text)
+        over = [g for g in gains if g > MARGIN]
+        total = sum(over) - MARGIN * len(over)
+        return [max(over, default=0) / 16, math.log1p(total / 16), total / 16 / math.sqrt(max(1, len(gains)))]
 
     def score(self, text: str | None) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.evidence(text)))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    """Only whole codes can match: the least match is longer than chance repeats, and shorter than a code."""
-    raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """A strategy with two hash tables, with room for every position of the dictionary: codes lost to collisions would look like
+    codes that it lacks. Nothing is written around the compressed bytes."""
+    own, wide = zstandard.ZstdCompressionDict(dictionary), len(dictionary).bit_length() + 1
     settings = zstandard.ZstdCompressionParameters.from_level(
-        1, source_size=2 * WINDOW, dict_size=len(content), strategy=zstandard.STRATEGY_FAST, min_match=7, hash_log=15,
+        1, source_size=2 * WINDOW, dict_size=len(dictionary), strategy=zstandard.STRATEGY_DFAST, min_match=7, hash_log=wide, chain_log=wide,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
-    raw.precompute_compress(compression_params=settings)
-    return zstandard.ZstdCompressor(dict_data=raw, compression_params=settings)
-
-
-def _dictionaries(rows: list[tuple[Counter, int]], common: int = 2000, most: int = 2000) -> tuple[bytes, bytes]:
-    """Toxic and ordinary content, from counts of heads. What is frequent in ordinary text goes into both, so that it cancels
-    out. The toxic one also holds the marked heads, which stay out of the shared ones: those whose number of toxic documents,
-    with the head once or more or any other number of TIMES or more, is three times what is expected or more and can't be
-    chance (Chernoff's bound on a Poisson tail, one false head in two expected)."""
-    toxic, ordinary = Counter(), Counter()
-    n_toxic = sum(y for _, y in rows)
-    n_ordinary = len(rows) - n_toxic
-    for heads, y in rows:
-        (toxic if y else ordinary).update((h, k) for h, n in heads.items() for k in TIMES if n >= k)
-
-    def chance(at: tuple[str, int]) -> float:
-        expected = n_toxic * (ordinary[at] + 0.5) / (n_ordinary + 1)
-        n = toxic[at]
-        return n * math.log(n / expected) - n + expected if n >= 3 * expected else 0.0
-
-    limit, found = math.log(2 * len(toxic) + 1), {}
-    for at, n in toxic.items():
-        if n >= 2 and (x := chance(at)) > limit:
-            found[at[0]] = max(x, found.get(at[0], 0.0))
-    marked = sorted(found, key=lambda h: (found[h], h))[-most:]
-    times = {h: n for (h, k), n in ordinary.items() if k == 1}
-    shared = sorted(times.keys() - set(marked), key=lambda h: (times[h], h))[-common:]
-    code = Codes()
-    base = b"".join(code[h] for h in shared) or b"\0" * 64
-    return b"".join(code[h] for h in marked) + base, base
-
-
-def _unlike(texts: list[str], n: int = 3) -> list[int]:
-    """Positions of texts that share none of three min-hashes of their head trigrams with one before. Copies would make every
-    rare word in them look telling; losing some that merely share a phrase does no harm to a sample."""
+    own.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=own, compression_params=settings)
+
+
+def train(documents: list[bytes], share: float, least: int) -> bytes:
+    """A zstandard dictionary of documents, each given as the joined codes it has.
+
+    Codes in fewer documents than both bounds ask for are left out, and there is room for all others. Every code is a sample of
+    its own, so no piece of the dictionary straddles two. The trainer lets its header overwrite the pieces that it takes first,
+    from the first samples; filling in front of them takes that loss.
+    """
+    samples = [d[k : k + CODE] for d in documents for k in range(0, len(d), CODE)]
+    line = max(least, share * len(documents))
+    counts = Counter(samples)
+    samples = [x for x in samples if counts[x] >= line]
+    room = sum(n >= line for n in counts.values()) + _HEADER
+    stretch = len(samples) // room + 2
+    filling = [xxhash.xxh3_128_digest(b"filling %d" % i) for i in range(_HEADER) for _ in range(stretch)]
+    return zstandard.train_dictionary(room * CODE, filling + samples, k=CODE, d=8, f=24, accel=1).as_bytes()
+
+
+def train_both(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
+    """The dictionaries of toxic and of ordinary documents."""
+    toxic = train([codes for codes, y in rows if y], TOXIC_SHARE, TOXIC_LEAST)
+    return toxic, train([codes for codes, y in rows if not y], ORDINARY_SHARE, ORDINARY_LEAST)
+
+
+def sketch(text: str | None, n: int = 3) -> list[int]:
+    """Three min-hashes of word trigrams."""
+    words = WORD.findall((text or "").lower()) or [""]
+    grams = {zlib.crc32(" ".join(words[i : i + n]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - n + 1))}
+    h = np.fromiter(grams, np.uint64, len(grams))
+    return [int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (2654435761, 2246822519, 3266489917)]
+
+
+def unlike(sketches: list[list[int]]) -> list[int]:
+    """Positions of those that share no min-hash with one before. Copies would make every rare word in them look telling; losing
+    some that merely share a phrase does no harm to a sample."""
     seen, kept = set(), []
-    for k, text in enumerate(texts):
-        heads = HEAD.findall(text.lower()) or [""]
-        grams = {zlib.crc32(" ".join(heads[i : i + n]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(heads) - n + 1))}
-        h = np.fromiter(grams, np.uint64, len(grams))
-        keys = {(i, int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for i, m in enumerate((2654435761, 2246822519, 3266489917))}
+    for k, keys in enumerate(set(enumerate(s)) for s in sketches):
         if seen.isdisjoint(keys):
             kept.append(k)
         seen |= keys
@@ -152,33 +172,75 @@ def held_out(key: Column, mod: int = 5, rest: int = 0) -> Column:
     return F.crc32(key.cast("string")) % mod == rest
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Learns from at most FIT_TOXIC and FIT_ORDINARY labelled documents of at most FIT_CHARS characters, the first by hash of
-    key. Calibration is by halves: each half is scored with dictionaries of the other. Without labels of both classes every
-    score is 0.
+def _traits(texts: DataFrame) -> DataFrame:
+    """(key, y, sketch, codes) of (key, y, text) rows; codes joins the distinct codes of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            found = [v.as_py() for v in batch.column(2)]
+            joined = [b"".join(dict.fromkeys(recode(t, codes))) for t in found]
+            columns = [batch.column(0), batch.column(1), pa.array(map(sketch, found), pa.list_(pa.int64())), pa.array(joined, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "y", "sketch", "codes"])
+
+    return texts.mapInArrow(run, f"key {df_type(texts, 'key')}, y int, sketch array<bigint>, codes binary")
+
+
+def _order(row: dict) -> bytes:
+    return xxhash.xxh3_64_digest(str(row["key"]))
+
+
+def _models(traits: DataFrame, folds: dict) -> list[Model]:
+    """Without weights: for each fold, a model of the others, and at the end one of all. Training is spread over the executors."""
+
+    def build(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        rows = sorted((r for r in table.select(["key", "y", "codes"]).to_pylist() if folds.get(r["key"], part) != part), key=_order)
+        toxic, ordinary = train_both([(r["codes"], r["y"]) for r in rows])
+        return pa.table({"part": pa.array([part], pa.int32()), "toxic": pa.array([toxic], pa.binary()), "ordinary": pa.array([ordinary], pa.binary())})
+
+    parts = traits.select("key", "y", "codes", F.explode(F.lit(list(range(FOLDS + 1)))).alias("part"))
+    rows = parts.groupBy("part").applyInArrow(build, "part int, toxic binary, ordinary binary").collect()
+    return [Model(bytes(r["toxic"]), bytes(r["ordinary"]), []) for r in sorted(rows, key=lambda r: r["part"])]
+
+
+def _evidence(texts: DataFrame, folds: dict, models: list[Model]) -> DataFrame:
+    """(y, x) of (key, y, text) rows in a fold: evidence by the model that was trained without it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(y, models[folds[k]].evidence(t)) for k, y, t in zip(*(batch.column(i).to_pylist() for i in range(3))) if k in folds]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], names=["y", "x"])
+
+    return texts.mapInArrow(run, "y int, x array<double>")
+
+
+def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", scratch: Scratch | None = None) -> Model:
+    """Learns from at most FIT_TOXIC and FIT_ORDINARY labelled documents, whole texts, the first by hash of key. Of copies among
+    them one counts. Calibration is by FOLDS parts, each measured with dictionaries trained on the others. Null labels are
+    none, of several for a key the largest counts, of several texts for a key the least. Where labels of a class are missing
+    or too few to train on, every score is 0.
     """
-    y = labels.where(F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__k")).agg(F.max(label).alias("__y"))
+    y = labels.where(F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     chosen = None
     for value, most in ((1, FIT_TOXIC), (0, FIT_ORDINARY)):
-        part = y.where(F.col("__y") == value).orderBy(F.xxhash64("__k"), "__k").limit(most)
+        part = y.where(F.col("y") == value).orderBy(F.xxhash64("key"), "key").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    short = documents.select(F.col(key).alias("__k"), F.col(text).alias("__t")).where(F.length("__t") <= FIT_CHARS)
+    scratch = scratch or Scratch(documents.sparkSession, "toxicity")
     # The chosen side has at most FIT_TOXIC + FIT_ORDINARY rows of two numbers.
-    rows = short.join(F.broadcast(chosen), "__k").groupBy("__k", "__y").agg(F.min("__t").alias("__t")).collect()
-    rows.sort(key=lambda r: hashlib.md5(str(r["__k"]).encode()).digest())
-    kept = _unlike([r["__t"] for r in rows if r["__y"]]), _unlike([r["__t"] for r in rows if not r["__y"]])
-    toxic_rows, others = [r for r in rows if r["__y"]], [r for r in rows if not r["__y"]]
-    rows = [r for pair in itertools.zip_longest([toxic_rows[k] for k in kept[0]], [others[k] for k in kept[1]]) for r in pair if r]
-    counts = [(Counter(HEAD.findall(r["__t"].lower())), int(r["__y"])) for r in rows]
-    if len({y for _, y in counts}) < 2:
-        return Model(b"\0" * 64, b"\0" * 64, [-500.0, 0.0, 0.0, 0.0])
-    x: list[list[float]] = [[] for _ in rows]
-    for half in (0, 1):
-        model = Model(*_dictionaries([v for k, v in enumerate(counts) if k // 2 % 2 != half]), [])
-        for k in range(len(rows)):
-            if k // 2 % 2 == half:
-                x[k] = model.evidence(rows[k]["__t"])
-    return Model(*_dictionaries(counts), _logistic(np.array(x), np.array([y for _, y in counts], float)))
+    met = documents.select(F.col(key).alias("key"), F.col(text).alias("t")).join(F.broadcast(chosen), "key")
+    texts = scratch.keep(met.groupBy("key", "y").agg(F.min("t").alias("t")))
+    traits = scratch.keep(_traits(texts.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "key")))
+    rows = sorted(traits.where(F.length("codes") > 0).select("key", "y", "sketch").collect(), key=_order)
+    toxic, ordinary = ([r for r in rows if r["y"] == value] for value in (1, 0))
+    toxic, ordinary = ([some[k] for k in unlike([r["sketch"] for r in some])] for some in (toxic, ordinary))
+    folds = {r["key"]: k % FOLDS for some in (toxic, ordinary) for k, r in enumerate(some)}
+    if min(len(toxic), len(ordinary)) < 2 * FOLDS:
+        return Model(b"", b"", [-500.0, 0.0, 0.0, 0.0])
+    models = _models(traits, folds)
+    x = _evidence(texts, folds, models).collect()
+    weights = _logistic(np.array([r["x"] for r in x]), np.array([r["y"] for r in x], float))
+    return Model(models[FOLDS].toxic, models[FOLDS].ordinary, weights)
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
@@ -197,7 +259,12 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
 
 
 def keep_clean(documents: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """documents whose score is below the limit, columns and rows as they are; one pass, without a shuffle."""
+    """documents whose score is below the limit, columns and rows as they are; one pass, without a shuffle.
+
+    Null and empty texts have the score of no evidence, like any text without words; texts of any length are read whole; rows
+    repeated whole stay or go together; other columns are carried along, whatever their names; an empty table gives an empty
+    one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

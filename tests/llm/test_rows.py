@@ -2,12 +2,16 @@
 
 import fnmatch
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kindred.llm import license_scan, media, pieces, quality, toxicity, url_filter
@@ -15,8 +19,6 @@ from kindred.llm import queries as q
 from kindred.llm.license_texts import LICENSES
 from tests.llm.conftest import prose
 
-sp = pytest.importorskip("sentencepiece")
-
 
 def by(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
@@ -110,6 +112,7 @@ def test_licenses(spark, odd_documents):
 
 
 def test_pieces(spark, odd_documents, sf):
+    sp = pytest.importorskip("sentencepiece")
     model = q.piece_model()
     own, theirs = pieces.Pieces(model, memo=1000), sp.SentencePieceProcessor(model_file=model)
     rng = random.Random(1)
@@ -139,6 +142,58 @@ def test_held_out(spark, sf, name, label, least):
     assert all(h == (zlib.crc32(str(i).encode()) % mod == rest) for i, h in held.items())
 
 
+def test_toxicity_finds_what_a_constant_does_not(spark, sf):
+    larger = Path(sf).parent / "sf0.1"
+    if not larger.exists():
+        pytest.skip("needs a few thousand labels")
+    rows = q.QUERIES["op4_toxicity"](spark, str(larger)).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out").collect()
+    hit = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert hit >= 0.75 * sum(r["toxic"] for r in rows) and hit >= 0.9 * sum(r["predicted"] for r in rows)
+
+
+def test_toxicity_scores(spark, sf):
+    """Scores against a plain reading of the method with the model's own dictionaries."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.toxic != model.ordinary and all(d[:4] == b"\x37\xa4\x30\xec" for d in (model.toxic, model.ordinary))
+    toxic, ordinary = toxicity._compressor(model.toxic), toxicity._compressor(model.ordinary)
+    got = by(toxicity.score(docs, model))
+    for r in docs.collect():
+        seen, stream = Counter(), b""
+        for w in re.findall(r"\w+", r["text"].lower()):
+            seen[w] += 1
+            step = max(n for n in (1, 2, 3, 5) if n <= seen[w])
+            stream += xxhash.xxh3_128_digest(w + f" {step}" if step > 1 else w)
+        windows = [stream[k : k + 32] for k in range(0, len(stream), 32)]
+        gains = [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows]
+        total = sum(max(0, g - 5) for g in gains) / 16
+        x = [max((g for g in gains if g > 5), default=0) / 16, math.log1p(total), total / math.sqrt(max(1, len(gains)))]
+        z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x))
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_words_are_read_whole():
+    """Words alike in their first letters, the whole of a word, unspaced scripts, case, and the step of a count."""
+    codes = toxicity.Codes()
+    one = toxicity.recode("stupid Stupid STUPID stupor stupendous a-b", codes)
+    assert len(set(one)) == 7 and all(len(c) == toxicity.CODE for c in one)
+    assert toxicity.recode("STUPID", codes) == one[:1] and len(toxicity.recode("日本語の長い文章です", codes)) == 10
+    assert toxicity.recode(None, codes) == toxicity.recode("", codes) == toxicity.recode(" .,\n", codes) == []
+    assert len(set(toxicity.recode("w " * 9, codes))) == 4
+
+
+def test_dictionary_holds_its_codes():
+    """The dictionary holds the commonest codes, most of the others over the line, and none under it."""
+    rng, words = random.Random(2), [xxhash.xxh3_128_digest(f"w{k}") for k in range(1000)]
+    documents = [b"".join(w for k, w in enumerate(words) if rng.random() < 1 / (1 + k / 20)) for _ in range(300)]
+    counts = Counter(w for w in words for d in documents if w in d)
+    built = toxicity.train(documents, 0.05, 3)
+    held = {w for w in words if w[2:-2] in built}
+    line = {w for w, n in counts.items() if n >= 15}
+    assert held <= line and len(held) >= 0.75 * len(line) and set(words[:50]) <= held
+    assert len(toxicity.train([b"", words[0]], 0.5, 3)) > 100
+
+
 def test_classifiers_on_odd_rows(spark, odd_documents):
     texts = [(i, prose(i, 60) + (" stupid moron" if i % 2 else ""), i % 2) for i in range(100, 300)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
@@ -153,6 +208,10 @@ def test_classifiers_on_odd_rows(spark, odd_documents):
     model = toxicity.fit(docs, labels)
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and kept.where("toxic = 1").count() == 0 and kept.count() == 100
+    odd = toxicity.keep_clean(odd_documents, model)
+    assert odd.columns == odd_documents.columns and odd.count() == 10 and toxicity.keep_clean(odd_documents.limit(0), model).count() == 0
+    long = docs.select("doc_id", F.when(F.col("toxic") == 1, F.concat("text", F.repeat(F.lit(" of the and"), 3000))).otherwise(F.col("text")).alias("text"))
+    assert toxicity.fit(long, labels).weights[0] > -500
 
 
 def test_toxic_marker_in_ordinary_text(spark):
