@@ -40,7 +40,7 @@ _STEPS = ("", "", " 2", " 3", " 3", " 5")
 FIT_TOXIC, FIT_ORDINARY = 2500, 5000
 #: A dictionary is trained on codes in so large a share of its documents, and in so many of them, or more. The ordinary one goes
 #: further down, so that what chance put above the toxic one's line is mostly known to it.
-TOXIC_SHARE, TOXIC_LEAST, ORDINARY_SHARE, ORDINARY_LEAST = 0.01, 6, 0.002, 3
+TOXIC_SHARE, TOXIC_LEAST, ORDINARY_SHARE, ORDINARY_LEAST = 0.01, 6, 0.002, 2
 FOLDS = 4
 _HEADER = 64
 
@@ -70,12 +70,13 @@ class Model:
     toxic: bytes
     ordinary: bytes
     weights: list[float]
+    rate: float = 0.0
 
     def __post_init__(self) -> None:
         self.ready = None
 
     def __getstate__(self) -> dict:
-        return {"toxic": self.toxic, "ordinary": self.ordinary, "weights": self.weights, "ready": None}
+        return self.__dict__ | {"ready": None}
 
     def gains(self, text: str | None) -> list[int]:
         """Bytes that the toxic dictionary saves over the ordinary one on each window; none without dictionaries."""
@@ -88,18 +89,27 @@ class Model:
         windows = [stream[k : k + WINDOW] for k in range(0, len(stream), WINDOW)]
         return [len(ordinary(w)) - len(toxic(w)) for w in windows]
 
-    def evidence(self, text: str | None) -> list[float]:
-        """Largest gain of a window, sum of gains over the margin, and that sum against the number of windows."""
+    def sums(self, text: str | None) -> list[float]:
+        """Largest gain over the margin, sum of gains over the margin, and number of windows."""
         gains = self.gains(text)
         over = [g for g in gains if g > MARGIN]
-        total = sum(over) - MARGIN * len(over)
-        return [max(over, default=0) / 16, math.log1p(total / 16), total / 16 / math.sqrt(max(1, len(gains)))]
+        return [max(over, default=0) / 16, (sum(over) - MARGIN * len(over)) / 16, len(gains)]
+
+    def evidence(self, text: str | None) -> list[float]:
+        return measures(self.sums(text), self.rate)
 
     def score(self, text: str | None) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.evidence(text)))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
+def measures(sums: list[float], rate: float) -> list[float]:
+    """Largest gain, and what the sum exceeds that of so many windows of ordinary text by, as a logarithm and in deviations."""
+    most, total, windows = sums
+    beyond = total - rate * windows
+    return [most, math.log1p(max(0.0, beyond)), beyond / math.sqrt(max(1, windows))]
+
+
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     """A strategy with two hash tables, with room for every position of the dictionary: codes lost to collisions would look like
     codes that it lacks. Nothing is written around the compressed bytes."""
@@ -205,11 +215,11 @@ def _models(traits: DataFrame, folds: dict) -> list[Model]:
 
 
 def _evidence(texts: DataFrame, folds: dict, models: list[Model]) -> DataFrame:
-    """(y, x) of (key, y, text) rows in a fold: evidence by the model that was trained without it."""
+    """(y, x) of (key, y, text) rows in a fold: sums by the model that was trained without it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(y, models[folds[k]].evidence(t)) for k, y, t in zip(*(batch.column(i).to_pylist() for i in range(3))) if k in folds]
+            rows = [(y, models[folds[k]].sums(t)) for k, y, t in zip(*(batch.column(i).to_pylist() for i in range(3))) if k in folds]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], names=["y", "x"])
 
     return texts.mapInArrow(run, "y int, x array<double>")
@@ -239,8 +249,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return Model(b"", b"", [-500.0, 0.0, 0.0, 0.0])
     models = _models(traits, folds)
     x = _evidence(texts, folds, models).collect()
-    weights = _logistic(np.array([r["x"] for r in x]), np.array([r["y"] for r in x], float))
-    return Model(models[FOLDS].toxic, models[FOLDS].ordinary, weights)
+    plain = [r["x"] for r in x if not r["y"]]
+    rate = sum(v[1] for v in plain) / max(1, sum(v[2] for v in plain))
+    weights = _logistic(np.array([measures(r["x"], rate) for r in x]), np.array([r["y"] for r in x], float))
+    return Model(models[FOLDS].toxic, models[FOLDS].ordinary, weights, rate)
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:

@@ -166,8 +166,8 @@ def test_toxicity_scores(spark, sf):
             stream += xxhash.xxh3_128_digest(w + f" {step}" if step > 1 else w)
         windows = [stream[k : k + 32] for k in range(0, len(stream), 32)]
         gains = [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows]
-        total = sum(max(0, g - 5) for g in gains) / 16
-        x = [max((g for g in gains if g > 5), default=0) / 16, math.log1p(total), total / math.sqrt(max(1, len(gains)))]
+        beyond = sum(max(0, g - 5) for g in gains) / 16 - model.rate * len(gains)
+        x = [max((g for g in gains if g > 5), default=0) / 16, math.log1p(max(0, beyond)), beyond / math.sqrt(max(1, len(gains)))]
         z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x))
         assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
 
