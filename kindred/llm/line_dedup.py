@@ -1,14 +1,16 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are compared as sequences of words, A-Z taken as a-z. Of lines at most one edited word (changed, left out or put in)
-apart the earliest is kept. A line's neighbourhood is itself and itself without any one of its words, as hashed keys:
+Lines are compared as sequences of words, A-Z taken as a-z. A line goes if an earlier one that stays is within the edit bound:
+one edited word (changed, left out or put in) for lines of five words or more, none for shorter ones, where a word is too much
+of the line. A line's neighbourhood is itself and itself without any one of its words, as hashed keys:
 
-* lines that agree without their i-th word differ at most there, so all that share the key (variant, i, length) are within
-  the bound of each other and of the earliest of them;
-* a line that equals another's variant is that other with a word left out.
+* lines that agree without their i-th word differ at most there, so all that share the key (variant, i, length) are within the
+  bound of one another: a group in which the first line that stays settles all after it;
+* a line that equals another's variant is that other with a word left out: a group of one whole line and longer ones, which
+  the whole line settles, or is settled by.
 
-So each key's earliest line settles the key, by aggregation, and no pairs within a key are made. What a key claims is then
-verified on the words themselves.
+Groups list their members, not pairs, and what a key claims is verified on the words themselves. Which lines stay follows from
+the groups in rounds: each keeps the lines that have no undecided earlier neighbour and drops what those reach.
 
 Only lines that can have a neighbour emit variants: cut a line in half, and one half of any neighbour is the same, so two
 hashed halves (for its own and for the next greater length) are counted first, and only positions in the other half emitted.
@@ -20,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from kindred.llm.names import free
 from kindred.llm.shingles import mix, texts_of, word_hashes
 from kindred.runtime import Scratch
 
@@ -71,15 +75,19 @@ def _lines(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
 
 
 def line_table(documents: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(doc, line, f, g, halves) of every line of at least ``least`` words; f and g stand for its words."""
+    """(doc, line, f, g, halves) of every line with a word; f and g stand for its words; only lines of ``least`` have halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0)
             for row, number, start, end, words in _lines(batch.column(1)):
-                keep = np.flatnonzero(end - start >= least)
+                keep = np.flatnonzero(end > start)
                 row, number, start, end = row[keep], number[keep], start[keep], end[keep]
                 a, b, n = Ranges(words), Ranges(words, _BASES[1]), end - start
+                f, g = _tagged(a.of(start, end), n), _tagged(b.of(start, end), n)
+                large = n >= least
+                places = pa.array(np.append(0, np.cumsum(4 * large)).astype(np.int32))
+                start, end, n = start[large], end[large], n[large]
                 p, q = n // 2, (n + 1) // 2
                 halves = [
                     _tagged(a.of(start, start + p), 4 * n), _tagged(a.of(start + p, end), 4 * n + 1),
@@ -89,8 +97,7 @@ def line_table(documents: DataFrame, key: str, text: str, least: int) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [
                         docs.take(pa.array(row)), pa.array(number.astype(np.int32)),
-                        pa.array(_tagged(a.of(start, end), n).view(np.int64)), pa.array(_tagged(b.of(start, end), n).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 4), flat),
+                        pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.ListArray.from_arrays(places, flat),
                     ],
                     names=["doc", "line", "f", "g", "halves"],
                 )
@@ -147,11 +154,18 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPACE = str.maketrans("\t\x0b\x0c\r", "    ")
+#: Members of a group by role: any of those that differ in one word; the whole line; the longer ones. What each is settled by.
+_SAME, _WHOLE, _LONGER = 0, 1, 2
+_AGAINST = {_SAME: _SAME, _WHOLE: _LONGER, _LONGER: _WHOLE}
+
+
+def _words(line: str) -> list[str]:
+    return [w for w in line.translate(_LOWER).translate(_SPACE).split(" ") if w]
 
 
 def near(a: str, b: str) -> bool:
     """Whether two lines are at most one edited word apart."""
-    x, y = ([w for w in t.translate(_LOWER).translate(_SPACE).split(" ") if w] for t in (a, b))
+    x, y = _words(a), _words(b)
     if abs(len(x) - len(y)) > 1:
         return False
     k = 0
@@ -160,21 +174,78 @@ def near(a: str, b: str) -> bool:
     return x[k + 1 :] == y[k + 1 :] or x[k + 1 :] == y[k:] or x[k:] == y[k + 1 :]
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc, line) of pairs (doc, line, by) whose texts are within the bound; by is the earlier line."""
+def _groups(keys: DataFrame) -> DataFrame:
+    """(gid, role, i, doc, line, lead) of groups with something to settle; lead is the line that stands for the group's text."""
+    place = F.struct("doc", "line")
+    same = keys.where("i >= 0").groupBy("key", "i", "n").agg(F.min(place).alias("lead"), F.max(place).alias("last")).where("lead <> last").drop("last")
+    some = keys.where("i >= 0").join(same, ["key", "i", "n"]).select(F.xxhash64("key", "i", "n").alias("gid"), F.lit(_SAME).alias("role"), "i", "doc", "line", "lead")
+    whole = F.min(F.when(F.col("i") < 0, place))
+    ends = keys.groupBy("key").agg(whole.alias("lead"), F.max("i").alias("most")).where("lead is not null and most >= 0").drop("most")
+    role = F.when(F.col("i") < 0, _WHOLE).otherwise(_LONGER)
+    return some.union(keys.join(ends, "key").select(F.xxhash64("key").alias("gid"), role, "i", "doc", "line", "lead"))
+
+
+def _verified(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """(gid, role, doc, line) of members whose words are what the group's lead says."""
     texts = lines.select("doc", "line", "t")
-    met = pairs.join(texts, ["doc", "line"]).join(texts.select(F.struct("doc", "line").alias("by"), F.col("t").alias("u")), "by")
+    met = members.join(texts, ["doc", "line"]).join(texts.select(F.struct("doc", "line").alias("lead"), F.col("t").alias("u")), "lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [near(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+            hit = []
+            for role, i, t, u in zip(*(batch.column(k).to_pylist() for k in (1, 4, 5, 6))):
+                own, lead = _words(t), _words(u)
+                if role == _SAME:
+                    hit.append(len(own) == len(lead) and own[:i] == lead[:i] and own[i + 1 :] == lead[i + 1 :])
+                else:
+                    hit.append(own == lead if role == _WHOLE else own[:i] + own[i + 1 :] == lead)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(hit, pa.bool_()))
+
+    return met.select("gid", "role", "doc", "line", "i", "t", "u").mapInArrow(run, "gid bigint, role int, doc bigint, line int")
 
-    return met.select("doc", "line", "t", "u").mapInArrow(run, "doc bigint, line int")
+
+def settle(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, line) of the lines that go, from (gid, role, doc, line) members of groups.
+
+    A round takes two joins over the members of groups that are still open, whatever the size of a group, and is written to
+    the shared folder. The first undecided line is decided in every round; of lines in random order a few rounds decide all.
+    """
+    place = F.struct("doc", "line")
+    now = scratch.keep(members.select("gid", "role", "doc", "line", F.lit(False).alias("stays")).distinct())
+    gone = []
+    while True:
+        least = [F.min(F.when((F.col("role") == r) & (F.col("stays") == stays), place)).alias(f"{name}{r}") for r in _AGAINST for name, stays in (("kept", True), ("open", False))]
+        seen = now.join(now.groupBy("gid").agg(*least), "gid")
+
+        def before(name: str) -> Column:
+            hit = F.lit(False)
+            for role, other in _AGAINST.items():
+                hit = F.when(F.col("role") == role, F.coalesce(F.col(f"{name}{other}") < place, F.lit(False))).otherwise(hit)
+            return F.max(hit)
+
+        found = seen.where(~F.col("stays")).groupBy("doc", "line").agg(before("kept").alias("goes"), before("open").alias("waits"))
+        found = scratch.keep(found.where("goes or not waits"))
+        if found.isEmpty():
+            break
+        gone.append(found.where("goes").select("doc", "line"))
+        after = now.join(found, ["doc", "line"], "left").where("goes is null or not goes").select("gid", "role", "doc", "line", F.expr("stays or goes is not null").alias("stays"))
+        still = after.where(~F.col("stays")).select("gid").distinct()
+        step = scratch.keep(after.join(still, "gid", "left_semi"))
+        scratch.drop(now)
+        now = step
+    out = members.select("doc", "line").limit(0)
+    for part in gone:
+        out = out.union(part)
+    return out
 
 
 def dropped_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc, lines): the numbers, from 0, of the lines that go, for each document that loses any."""
+    """(doc, lines): the numbers, from 0, of the lines that go, for each document that loses any.
+
+    Earliest is by key, then line number; ties are the same line of rows repeated whole, which lose the same lines. Keys are
+    taken as numbers and should be unique but for that; a null key never comes first. Null and empty texts and lines without
+    a word lose nothing; texts of any length are read whole; an empty table gives an empty one.
+    """
     scratch = scratch or Scratch(documents.sparkSession, "lines")
     table = scratch.keep(line_table(documents, key, text, least))
     place = F.struct("doc", "line")
@@ -185,38 +256,38 @@ def dropped_lines(documents: DataFrame, key: str = "doc_id", text: str = "text",
     wanted = halves.join(shared, "half").groupBy("at").agg(F.bit_or(bit).cast("int").alias("mask")).select("at.doc", "at.line", "mask")
     lines = scratch.keep(_pick(documents, wanted, key, text))
     keys = scratch.keep(_variants(lines))
-    same = keys.where("i >= 0").groupBy("key", "i", "n").agg(F.min(place).alias("by"), F.max(place).alias("last")).where("by <> last").drop("last")
-    changed = keys.where("i >= 0").join(same, ["key", "i", "n"]).select("doc", "line", "by")
-    longer = F.when(F.col("i") >= 0, place)
-    ends = keys.groupBy("key").agg(F.min(F.when(F.col("i") < 0, place)).alias("whole"), F.min(longer).alias("rest")).where("whole is not null and rest is not null")
-    shorter = keys.where("i >= 0").join(ends.select("key", F.col("whole").alias("by")), "key").select("doc", "line", "by")
-    reverse = ends.select("whole.doc", "whole.line", F.col("rest").alias("by"))
-    pairs = changed.union(shorter).union(reverse).where(F.col("by") < place).groupBy("doc", "line").agg(F.min("by").alias("by"))
-    gone = scratch.keep(_verified(pairs, lines).withColumn("gone", F.lit(True)))
+    gone = settle(_verified(_groups(keys), lines), scratch).withColumn("gone", F.lit(True))
     heads = once.select("f", "g", "times", "at", F.col("at.doc").alias("doc"), F.col("at.line").alias("line")).join(gone, ["doc", "line"], "left")
     heads = heads.where("times > 1 or gone").select("f", "g", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = table.select("doc", "line", "f", "g").join(heads, ["f", "g"]).where(F.col("gone") | (place != F.col("at")))
     return out.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines of the given numbers."""
+    out = []
+    for text, numbers in zip(texts.to_pylist(), gone.to_pylist()):
+        if text is not None and numbers:
+            drop = set(numbers)
+            text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", least: int = MIN_WORDS) -> DataFrame:
-    """documents with the text that is left, and __lines and __gone, the numbers of lines before and dropped.
+    """documents with the text that is left, and behind them the numbers of lines before and dropped, __lines and __gone.
 
-    Earliest is by key, then line number. Lines of fewer than ``least`` words stay, as do null and empty texts. Rows repeated
-    whole lose the same lines. A text without all of its lines is empty, not null. length, if there is such a column, is
-    counted again where a text changed. Other columns are carried along, whatever their names.
+    What goes is said by dropped_lines. Null and empty texts stay as they are. A text without all of its lines is empty, not
+    null. length, if there is such a column, is counted again where a text changed. Other columns are carried along, whatever
+    their names; a number whose name is taken gets underscores behind it. An empty table gives an empty one.
     """
-    out = documents.join(dropped_lines(documents, key, text, least).toDF("__doc", "__drop"), F.col(key).cast("bigint") == F.col("__doc"), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    cols = []
-    for c in documents.columns:
-        if c == text:
-            cols.append(F.when(F.col("__drop").isNull(), F.col(text)).otherwise(kept).alias(text))
-        else:
-            cols.append(F.col(c))
-    out = out.select(*cols, F.coalesce(F.size(lines), F.lit(0)).alias("__lines"), F.coalesce(F.size("__drop"), F.lit(0)).alias("__gone"))
+    doc, drop, before, gone = (free(name, documents.columns) for name in ("__doc", "__drop", "__lines", "__gone"))
+    out = documents.join(dropped_lines(documents, key, text, least).toDF(doc, drop), F.col(key).cast("bigint") == F.col(doc), "left")
+    cols = [_without(F.col(text), F.col(drop)).alias(text) if c == text else F.col(f"`{c}`") for c in documents.columns]
+    lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1)
+    out = out.select(*cols, lines.alias(before), F.coalesce(F.size(drop), F.lit(0)).alias(gone))
     if length and length in documents.columns:
-        size = F.when(F.col("__gone") > 0, F.length(text)).otherwise(F.col(length)).cast(documents.schema[length].dataType)
+        size = F.when(F.col(gone) > 0, F.length(text)).otherwise(F.col(length)).cast(documents.schema[length].dataType)
         out = out.withColumn(length, size)
     return out

@@ -118,7 +118,7 @@ def test_odd_rows(spark, odd_documents):
     assert near_dedup.groups(odd_documents).count() == 10 and got[6]["component_id"] == 5 and got[2]["n_shingles"] == 0 and got[2]["kept"]
     out = line_dedup.dedup(odd_documents)
     rows = {r["doc_id"]: r for r in out.collect()}
-    assert out.count() == 10 and rows[1]["text"] is None and rows[6]["text"] == "" and rows[6]["n_chars"] == 0 and rows[5]["text"] == prose(2, 80)
+    assert out.count() == 10 and rows[1]["text"] is None and rows[6]["text"] == "" and rows[6]["n_chars"] == 0 and rows[9]["text"] == "one two\n\nÄ é 😀" and rows[5]["text"] == prose(2, 80)
     assert set(odd_documents.columns) < set(out.columns) and line_dedup.dedup(odd_documents.limit(0)).count() == 0
     each = mixing.copies_of_rows(mixing.plan(odd_documents))
     assert each.count() == 10 and each.where("size = 0 and times > 0").count() == 0
@@ -141,26 +141,42 @@ def test_shingles():
 
 
 def brute_lines(rows, least):
-    first, places = {}, []
+    """Line by line in order: one goes if it repeats one before, or is near one before that stays."""
+    stay, places, by_cut, gone, seen = set(), [], defaultdict(set), set(), set()
     for i, t in sorted(rows):
         for j, line in enumerate((t or "").split("\n")):
             w = tuple(words(line))
-            if len(w) >= least:
+            if w:
                 places.append((i, j, w))
-                first.setdefault(w, (i, j))
-    short = defaultdict(list)
-    for w in first:
-        for k in range(len(w)):
-            short[w[:k] + w[k + 1 :]].append(w)
-
-    def near(w):
-        for k in range(len(w)):
-            v = w[:k] + w[k + 1 :]
-            yield from (x for x in [*short[v], v] if x in first)
-        yield from short[w]
-
-    gone = {w for w, at in first.items() if any(first[x] < at and line_dedup.near(" ".join(x), " ".join(w)) for x in near(w))}
-    return {(i, j) for i, j, w in places if w in gone or first[w] != (i, j)}
+    for i, j, w in places:
+        if w in seen:
+            gone.add((i, j))
+            continue
+        seen.add(w)
+        if len(w) < least:
+            continue
+        cuts = [w[:k] + w[k + 1 :] for k in range(len(w))]
+        around = {x for v in cuts for x in by_cut[v] | ({v} & stay)} | by_cut[w]
+        if any(near_words(x, w) for x in around):
+            gone.add((i, j))
+            continue
+        stay.add(w)
+        for v in cuts:
+            by_cut[v].add(w)
+    first = {}
+    for i, j, w in places:
+        first.setdefault(w, (i, j))
+    return {(i, j) for i, j, w in places if first[w] != (i, j) or (i, j) in gone} | {(i, j) for i, j, w in places if first[w] in gone}
+
+
+def near_words(x, y):
+    """Edit distance over words, at most one, by the textbook table."""
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        row, last = [i], row
+        for j, b in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+    return row[-1] <= 1
 
 
 def test_near_lines():
@@ -189,6 +205,33 @@ def test_lines(spark, sf):
     assert out == {i: "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in drop) for i, t in rows}
 
 
+def test_line_chains(spark):
+    """Lines each one word from the one before: every other one stays, within the bound of what goes."""
+    for turn in (1, -1):
+        line, rows = list("abcdefg"), []
+        for k in range(8):
+            rows.append((k, " ".join(line)))
+            line[k % 7] = f"x{k}"
+        rows = list(enumerate(t for _, t in rows[::turn]))
+        rows += [(100, "a b c d e f g h"), (101, "same short line"), (102, "same short line\nSame  short line\nother short line\n\n"), (103, None), (104, "")]
+        got = {(r["doc"], j) for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() for j in r["lines"]}
+        assert got == brute_lines(rows, 5) and {(102, 0), (102, 1)} <= got and {i for i, _ in got if i < 8} == {1, 3, 5, 7}
+
+
+def test_line_rounds(spark):
+    """Many lines over few words, so that groups overlap and settle one another over rounds."""
+    rng = random.Random(8)
+    rows = [(k, "\n".join(" ".join(rng.choice("abc") for _ in range(rng.randint(3, 7))) for _ in range(20))) for k in range(100)]
+    got = {(r["doc"], j) for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() for j in r["lines"]}
+    assert got == brute_lines(rows, 5)
+
+
+def test_line_names(spark):
+    df = spark.createDataFrame([(1, "a b c\na b c", 7, 8), (2, "x", 7, 8)], "doc_id long, text string, __drop long, __doc long").withColumn("__gone", F.lit("old"))
+    out = {r["doc_id"]: r for r in line_dedup.dedup(df).collect()}
+    assert out[1]["text"] == "a b c" and out[1]["__drop"] == 7 and out[1]["__doc"] == 8 and out[1]["__gone"] == "old" and (out[1]["__lines"], out[1]["__gone_"]) == (2, 1) and out[2]["__gone_"] == 0
+
+
 def brute_targets(sizes, most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: k % 3 + 1 for k, s in enumerate(names)}
