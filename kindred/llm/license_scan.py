@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.license_texts import LICENSES
+from kindred.llm.license_texts import DIGESTS, LICENSES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that only say who holds the rights, after lower-casing.
-HOLDER = r"^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+#: Lines that only say who holds the rights, after lower-casing: a mark or a year must follow the word, or the phrase on all
+#: rights, so that a line of the licence's own that happens to begin with the word, by wrapping, is none.
+HOLDER = (
+    r"^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|c\)|©|<|\[|[0-9])[^\n]*|copyright[^\n]*all[ \t]+rights[ \t]+reserved[^a-z0-9\n]*"
+    r"|\(c\)[^a-z0-9\n]*(?:copyright|[0-9])[^\n]*|©[^\n]*|all[ \t]+rights[ \t]+reserved[^a-z0-9\n]*)$"
+)
 #: ASCII punctuation, control characters and white space, and the usual typographic marks.
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{2010}-\x{2027}\x{00A0}\x{00A9}\x{00AB}\x{00BB}]+"
 #: Spellings that count as the same, longest first, on text of words with single spaces.
@@ -45,10 +49,14 @@ def canonical_sql(text: str) -> str:
 
 
 def known(spark, licenses: dict[str, str] | None = None) -> DataFrame:
-    """(license_digest, license_id) of known licence texts; of texts that come out alike the first name is kept."""
+    """(license_digest, license_id) of known licence texts, by default those of license_texts and the digests kept there; of
+    texts that come out alike the first name is kept."""
     rows = [F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("t")) for k, v in (licenses or LICENSES).items()]
     out = spark.range(1).select(F.inline(F.array(*rows)))
     out = out.select(F.sha2(canonical(F.col("t")), 256).alias("license_digest"), "license_id")
+    if licenses is None:
+        kept = [F.struct(F.lit(k).alias("license_digest"), F.lit(v).alias("license_id")) for k, v in DIGESTS.items()]
+        out = out.union(spark.range(1).select(F.inline(F.array(*kept))))
     return out.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 

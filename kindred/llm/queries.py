@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import license_scan, line_dedup, media, mixing, near_dedup, pieces, quality, toxicity, url_filter, vectors
-from kindred.llm.license_texts import LICENSES
+from kindred.llm.license_texts import DIGESTS, LICENSES
 from kindred.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,9 +113,10 @@ SELECT page_id, host, path, {_rule_sql(RULES, "name")} END AS rule, {_rule_sql(R
 """
 
 _VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LICENSES.items())
+_DIGESTS = ", ".join(f"('{k}', '{v}')" for k, v in DIGESTS.items())
 ORACLES["op6_license_scan"] = f"""
 WITH k AS (SELECT sha256({license_scan.canonical_sql("t")}) AS license_digest, min(license_id) AS license_id
-    FROM (VALUES {_VALUES}) v(license_id, t) GROUP BY 1),
+    FROM (VALUES {_VALUES}) v(license_id, t) GROUP BY 1 UNION ALL VALUES {_DIGESTS}),
 d AS (SELECT doc_id, sha256({license_scan.canonical_sql("text")}) AS license_digest FROM documents)
 SELECT doc_id, license_digest, license_id FROM d LEFT JOIN k USING (license_digest)
 """

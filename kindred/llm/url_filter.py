@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.names import free
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -144,11 +146,12 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
     names = F.array(*[F.lit(r.name) for r in rules]) if rules else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(r.verdict) for r in rules]) if rules else F.array().cast("array<string>")
     k = longest_rule(rules)(F.concat(F.lit("."), "host", "path"))
-    out = out.withColumn("__k", k)
+    place = free("__k", [*out.columns, "rule", "verdict"])
+    out = out.withColumn(place, k)
     return out.select(
         *kept,
         "host",
         "path",
-        F.when(F.col("__k") >= 0, F.get(names, F.col("__k"))).alias("rule"),
-        F.when(F.col("__k") >= 0, F.get(verdicts, F.col("__k"))).otherwise(default).alias("verdict"),
+        F.when(F.col(place) >= 0, F.get(names, F.col(place))).alias("rule"),
+        F.when(F.col(place) >= 0, F.get(verdicts, F.col(place))).otherwise(default).alias("verdict"),
     )

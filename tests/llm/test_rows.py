@@ -6,6 +6,8 @@ import math
 import random
 import re
 import struct
+import textwrap
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import license_scan, media, pieces, quality, toxicity, url_filter
 from kindred.llm import queries as q
-from kindred.llm.license_texts import LICENSES
+from kindred.llm.license_texts import DIGESTS, LICENSES
 from tests.llm.conftest import prose
 
 
@@ -39,9 +41,10 @@ def test_urls(spark):
     urls = [None, "", "no scheme", "://", "http://", "http://Example.ORG/es/x", "https://a.b.example.org/en/123?q=/de/", "https://example.org", "http://org/", "http://evilorg/", "ftp://x.com/de/y#z", "http://com/fr/", "http://x.com/it/",
             "a://b://c.org/", "http://É.Com/de/", "http://x.org/" + "p" * 100_000, "http://notexample.org/es/", "http://x.com?/de/", "http://x.com/d", "//x.org/"] * 2
     rows = [(i, u, "c") for i, u in enumerate(urls)]
-    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, host string"), q.RULES)
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, host string").withColumn("__k", F.lit("kept")), q.RULES)
     for r in got.collect():
         host, path, rule = brute_rule(urls[r["page_id"]])
+        assert r["__k"] == "kept"
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule and rule.name, rule.verdict if rule else "allow")
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), q.RULES).count() == 0
 
@@ -100,17 +103,82 @@ def test_sniffing(spark):
     assert media.describe(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")).first()["payload_bytes"] == 0
 
 
+def brute_feature(data, declared="application/octet-stream"):
+    """From what the text is alone: no magic but letters can be in it, and of those only whole media count."""
+    payload = data[44 : 44 + struct.unpack("<I", data[40:44])[0]]
+    counts = Counter(payload)
+    entropy = abs(-sum(n / len(payload) * math.log2(n / len(payload)) for n in counts.values()))
+    return f"{declared}>audio/wav 1x8@8000/{len(payload)} {entropy:.4f} "
+
+
+def test_features(spark, sf, odd_documents):
+    docs = odd_documents.select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id > 10"))
+    whole = b"%PDF-1.4 startxref 0 %%EOF"
+    docs = docs.union(spark.createDataFrame([(-1, f"a {whole.decode()} b GIF89a BM RIFF"), (-2, "%PDF- startxref"), (-3, "BM" * 40)], docs.schema)).cache()
+    got = {}
+    for r in media.describe(media.store_text(docs)).collect():
+        got.setdefault(r["doc_id"], r["feature"])
+    for r in docs.collect():
+        want = brute_feature(media.to_wav(media.padded((r["text"] or "").encode())))
+        assert got[r["doc_id"]] == want + str(int(r["doc_id"] == -1))
+
+
+def test_long_media():
+    """Scans stay linear: magic without end, chains that fail, and containers in containers."""
+    magic, start = media.automaton(), time.time()
+    assert media.sniff(b"%PDF-" * 2_000_000, magic) == []
+    assert len(media.sniff(b"%PDF-" * 1_000_000 + b"startxref %%EOF", magic)) == 1
+    assert media.sniff((b"\xff\xd8\xff\xda\x00\x02") * 300_000, magic) == []
+    assert media.sniff(b"GIF89a" * 500_000, magic) == [] and media.sniff(b"GIF89a" + b"!\xf9\x04GIF89" * 200_000, magic) == []
+    nested = b"RIFF"
+    for _ in range(5000):
+        nested = media.to_wav(nested)
+    found = media.carve(nested, magic)
+    assert len(found) == 5000 and found[0] == nested and found[-1] == media.to_wav(b"RIFF")
+    assert time.time() - start < 60
+
+
+def test_media_behind_samples():
+    """What follows a container's samples within it isn't searched; what follows the container is."""
+    magic, image = media.automaton(), png()
+    wav = media.to_wav(b"ab")
+    more = b"LIST" + struct.pack("<I", len(image) + len(image) % 2) + image + bytes(len(image) % 2)
+    wide = b"RIFF" + struct.pack("<I", len(wav) - 8 + len(more)) + wav[8:] + more
+    assert media.carve(wide + image, magic) == [wide, image] and media.carve(media.to_wav(image + image) + image, magic)[1:] == [image] * 3
+
+
 def test_licenses(spark, odd_documents):
     texts = [LICENSES["MIT"].upper().replace("\n", "\r\n  "), "Copyright 2020 Me\n" + LICENSES["BSD-2-Clause"], LICENSES["Zlib"].replace("acknowledgment", "acknowledgement").replace('"', "“"), "see " + LICENSES["ISC"], None, ""]
     want = ["MIT", "BSD-2-Clause", "Zlib", None, None, None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("license_id", F.lit("clash"))
     got = by(license_scan.scan(df))
     assert [got[i]["license_id"] for i in range(6)] == want and got[4]["license_digest"] == hashlib.sha256(b"").hexdigest()
+    body = LICENSES["BSD-2-Clause"]
+    wrapped = [(w, "\n".join(textwrap.wrap(" ".join(body.split()), w))) for w in range(30, 100)]
+    notices = ["Copyright (c) <year> <holder>", "(c) 2001-2020 A, B", "© A", "Copyright 2020 Me. All rights reserved.", "# COPYRIGHT © 1999"]
+    tops = [(1000 + k, n + "\n\n" + LICENSES["MIT (no title)"]) for k, n in enumerate(notices)]
+    df = spark.createDataFrame(wrapped + tops, "doc_id long, text string")
+    assert {r["license_id"] for r in license_scan.scan(df).where("doc_id < 1000").collect()} == {"BSD-2-Clause"}
+    assert {r["license_id"] for r in license_scan.scan(df).where("doc_id >= 1000").collect()} == {"MIT (no title)"}
+    assert not license_scan.known(spark).where("license_id like '%(line)%'").count()
     odd = license_scan.scan(odd_documents)
     assert odd.count() == 10 and odd.where("license_id is not null").count() == 0
     assert license_scan.scan(odd_documents.limit(0)).count() == 0
 
 
+def test_full_licences(spark):
+    """Digests of long licences against the texts that many systems keep."""
+    folder = Path("/usr/share/common-licenses")
+    names = [n for n in DIGESTS.values() if (folder / n).exists()]
+    if not names:
+        pytest.skip("no such texts here")
+    df = spark.createDataFrame([(n, (folder / n).read_text(errors="replace")) for n in names], "doc_id string, text string")
+    got = by(license_scan.scan(df))
+    assert all(got[n]["license_id"] == n for n in names) and len(names) >= 5
+    again = license_scan.scan(df.withColumn("text", F.regexp_replace(F.upper("text"), " +", "  "))).where("license_id is null")
+    assert again.count() == 0
+
+
 def test_pieces(spark, odd_documents, sf):
     sp = pytest.importorskip("sentencepiece")
     model = q.piece_model()
