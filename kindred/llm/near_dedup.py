@@ -2,8 +2,13 @@
 
 Each distinct shingle set gets MinHash samples. Bands of samples give candidates; all samples folded into a parity bitmap
 (an odd sketch) tell from the population count of an XOR which candidates can be similar enough; those are confirmed on
-full sets. Copies collapse first, and hot buckets are linked through their smallest member. Whatever is still apart within a
-bucket then gets a finer odd sketch and is compared in blocks, so no bucket's pairs are ever listed and none are left out.
+full sets. Copies collapse first, and hot buckets are linked through their smallest member.
+
+Whatever is still apart within a bucket then gets a finer odd sketch. Members of a bucket of up to HOT are compared with one
+another. Those of a larger one, which are many only because they share much that is below the limit, are banded again, by
+longer bands and as many of them as a pair at the limit needs, so work grows with members, not with their square. A bucket
+that is hot even so is compared in blocks, none of its members left out. Of members that may link, only the best for each
+member and component is carried on; all pairs of two components follow only where those fail.
 """
 
 from __future__ import annotations
@@ -17,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.names import free
 from kindred.llm.shingles import mix, shingle_sets
 from kindred.operators.components import connected_components
 from kindred.runtime import Scratch
 
-BLOCK = 1024
+HOT = BLOCK = 1024
 CHUNK = 256
 LONGS = 8
 BINS = 4096
@@ -51,6 +57,17 @@ class Settings:
         return min(n, math.ceil(mean + 5 * spread))
 
 
+    @property
+    def fine_rows(self) -> int:
+        """Of a longer band: 15 at 0.85, 11 at 0.8. What fills a bucket by sharing 0.8 or 0.7 of its shingles shares few of these."""
+        return int(math.log(0.075) / math.log(self.percent / 100))
+
+    @property
+    def fine_bands(self) -> int:
+        """As few as miss a pair at the limit with a probability below 1e-6: about 150."""
+        return math.ceil(math.log(1e-6) / math.log(1 - (self.percent / 100) ** self.fine_rows))
+
+
 CONTRACT = Settings(k=3, percent=85, bands=24, rows=5)
 
 
@@ -157,6 +174,28 @@ def _precise(texts: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
     return wanted.select("id", "t").mapInArrow(run, "id bigint, n bigint, size bigint, odd binary").dropDuplicates(["id"])
 
 
+def _fine(texts: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
+    """(rep, key): longer bands of other MinHash samples of wanted documents."""
+    n = s.fine_bands * s.fine_rows
+    odd = np.random.default_rng(11).integers(1, 1 << 62, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    band_salt = mix(np.arange(5001, 5001 + s.fine_bands, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(shingle_sets(batch.column(1), s.k)):
+                if not len(x):
+                    continue
+                y, least = mix(x ^ np.uint64(0x5DEECE66D)), np.full(n, np.iinfo(np.uint64).max, np.uint64)
+                for at in range(0, len(y), 256):
+                    least = np.minimum(least, (y[at : at + 256, None] * odd).min(axis=0))
+                rows, key = mix(least).reshape(s.fine_bands, s.fine_rows), band_salt
+                for r in range(s.fine_rows):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], s.fine_bands), pa.array(key.view(np.int64))], names=["rep", "key"])
+
+    return texts.join(ids, "id").select("id", "t").mapInArrow(run, "rep bigint, key bigint").distinct()
+
+
 def most_odd(n: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     """Bits in which precise sketches can differ for pairs at the limit, from sums of their set and sample sizes: the most that
     can be expected, with five deviations for sampling and five for folding. A bin's least shingle is in one set only with
@@ -170,8 +209,14 @@ def most_odd(n: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     return BINS / 2 * (1 - p) + 5 * np.sqrt(np.maximum(0, variance)) + 1
 
 
-def _apart(members: DataFrame, s: Settings) -> DataFrame:
-    """(x, y) of a bucket's members in different components whose precise sketches allow a link.
+def _open(members: DataFrame) -> DataFrame:
+    """(key, c) of buckets with more than one component, c being the number of members."""
+    return members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
+
+
+def _apart(members: DataFrame, s: Settings, every: bool = False) -> DataFrame:
+    """(x, y, cx, cy) of a bucket's members in different components cx < cy whose precise sketches allow a link: in each cell, for
+    each member and component the one that differs least, or every one.
 
     Buckets are cut into blocks of about BLOCK members and every two blocks meet in one cell, which is compared row by row.
     """
@@ -183,25 +228,32 @@ def _apart(members: DataFrame, s: Settings) -> DataFrame:
     names = ["key", "i", "j", "rep", "component", "n", "size", "odd"]
     rows = cells.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
-    def compare(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def compare(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         table, bits = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         rep, component, n, size = table.T
-        xs, ys = [rep[:0]], [rep[:0]]
+        xs, ys, cx, cy = [rep[:0]], [rep[:0]], [rep[:0]], [rep[:0]]
         for i in range(len(rep) - 1):
             at = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
             at = at[np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * s.percent]
             odd = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-            hit = at[odd <= most_odd(n[at] + n[i], size[at] + size[i], s.percent)]
+            fits = odd <= most_odd(n[at] + n[i], size[at] + size[i], s.percent)
+            hit = at[fits]
+            if not every and len(hit) > 1:
+                order = np.lexsort((rep[hit], odd[fits], component[hit]))
+                hit = hit[order]
+                hit = hit[np.append(True, np.diff(component[hit]) != 0)]
             xs.append(rep[hit])
             ys.append(np.full(len(hit), rep[i]))
-        return np.concatenate(xs), np.concatenate(ys)
+            cx.append(np.minimum(component[hit], component[i]))
+            cy.append(np.maximum(component[hit], component[i]))
+        return tuple(map(np.concatenate, (xs, ys, cx, cy)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
         def out() -> pa.RecordBatch:
-            x, y = compare(held) if held else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+            found = compare(held) if held else (np.zeros(0, np.int64),) * 4
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["x", "y", "cx", "cy"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -217,7 +269,7 @@ def _apart(members: DataFrame, s: Settings) -> DataFrame:
                 held.append((part[:, 3:], own))
         yield out()
 
-    return rows.mapInArrow(run, "x bigint, y bigint").where("x <> y").distinct()
+    return rows.mapInArrow(run, "x bigint, y bigint, cx bigint, cy bigint").where("x <> y").distinct()
 
 
 def groups(documents: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -249,16 +301,42 @@ def groups(documents: DataFrame, s: Settings = Settings(), key: str = "doc_id",
     texts = scratch.keep(documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi"))
     edges = scratch.keep(_confirm(first, texts, s))
     part = scratch.keep(connected_components(edges, scratch))
-    members = in_bucket.select("key", "rep").join(part, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
+    def placed(rows: DataFrame, part: DataFrame) -> DataFrame:
+        return rows.select("key", "rep").join(part, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
     # Only buckets with more than one component still need looking into.
-    open_ = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = scratch.keep(members.join(open_, "key"))
-    precise = scratch.keep(_precise(texts, members.select(F.col("rep").alias("id")).distinct(), s))
-    members = members.join(precise.withColumnRenamed("id", "rep"), "rep")
-    second = _apart(members, s).join(first.select(F.col("x").alias("p"), F.col("y").alias("q")), (F.col("x") == F.col("p")) & (F.col("y") == F.col("q")), "left_anti")
-    second = scratch.keep(second)
-    more = scratch.keep(_confirm(second, texts, s))
-    final = scratch.keep(connected_components(edges.union(more), scratch)) if not more.isEmpty() else part
+    members = placed(in_bucket, part)
+    members = scratch.keep(members.join(_open(members), "key"))
+    cold, hot = members.where(F.col("c") <= HOT).drop("c"), members.where(F.col("c") > HOT)
+    if not hot.isEmpty():
+        fine = scratch.keep(placed(_fine(texts, hot.select(F.col("rep").alias("id")).distinct(), s), part))
+        cold = scratch.keep(cold.union(fine.join(_open(fine).drop("c"), "key")))
+    precise = scratch.keep(_precise(texts, cold.select(F.col("rep").alias("id")).distinct(), s)).withColumnRenamed("id", "rep")
+    tested, final = first.select("x", "y"), part
+    for every in (False, True):
+        left = placed(cold, final)
+        left = left.join(_open(left).drop("c"), "key")
+        second = _apart(left.join(precise, "rep"), s, every)
+        # Ends of pairs stand as they were made; a pair that was tested either way round isn't tested again.
+        both = tested.union(tested.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        second = scratch.keep(second.join(both, ["x", "y"], "left_anti"))
+        if second.isEmpty():
+            break
+        # One pair settles two components where it is confirmed; the others are tried where it isn't.
+        one = scratch.keep(second.groupBy("cx", "cy").agg(F.min(F.struct("x", "y")).alias("p")).select("p.x", "p.y"))
+        for rest in (False, True):
+            if rest:
+                now = [final.select(F.col("id").alias(v), F.col("component").alias(f"n{v}")) for v in "xy"]
+                pairs = second.select("x", "y").join(one, ["x", "y"], "left_anti").join(now[0], "x", "left").join(now[1], "y", "left")
+                pairs = scratch.keep(pairs.where(F.coalesce("nx", "x") != F.coalesce("ny", "y")).select("x", "y"))
+                if pairs.isEmpty():
+                    break
+            more = scratch.keep(_confirm(pairs if rest else one, texts, s))
+            if not more.isEmpty():
+                edges = scratch.keep(edges.union(more))
+                final = scratch.keep(connected_components(edges, scratch))
+        tested = scratch.keep(tested.union(second.select("x", "y")).distinct())
     named = classes.join(final, F.col("rep") == F.col("id"), "left").where("copies > 1 or component is not null")
     named = named.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component"))
     found = feat.select("id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")), "left")
@@ -267,6 +345,10 @@ def groups(documents: DataFrame, s: Settings = Settings(), key: str = "doc_id",
 
 
 def keep_one(documents: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents without those that another of their group stands for, columns as they are."""
-    extra = groups(documents.select(key, text), s, key, text).where(~F.col("kept")).select(F.col(key).alias("__k")).distinct().hint("merge")
-    return documents.join(extra, F.col(key).cast("bigint") == F.col("__k"), "left_anti")
+    """documents without those that another of their group stands for, columns as they are, whatever their names.
+
+    Nulls, empty and very long texts, ties, repeated rows and empty tables are as in groups.
+    """
+    name = free("__k", documents.columns)
+    extra = groups(documents.select(key, text), s, key, text).where(~F.col("kept")).select(F.col(key).alias(name)).distinct().hint("merge")
+    return documents.join(extra, F.col(key).cast("bigint") == F.col(name), "left_anti")

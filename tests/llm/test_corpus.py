@@ -68,6 +68,7 @@ def test_near_hot_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "n", "rep", "key", "kept", "t")})
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(df, near_dedup.CONTRACT).collect()}
     assert got == brute_near(dict(rows), 3, 85)
+    df = df.withColumn("__k", F.lit("clash"))
     kept = near_dedup.keep_one(df, near_dedup.CONTRACT)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, v in got.items() if v[2]}
     assert near_dedup.groups(df.limit(0)).count() == 0
@@ -94,6 +95,30 @@ def test_near_hot_long(spark):
     assert got == want and 20 <= sum(not v[2] for v in want.values()) <= 24
 
 
+def test_near_hot_unlike(spark, monkeypatch):
+    """A bucket of texts that share much, below the limit, and a few that are near one another; cells stay near the rows."""
+    rng = random.Random(6)
+    shared = prose(70, 400).split()
+    rows = []
+    for k in range(900):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(90)]
+        rows.append((k, " ".join(shared + own)))
+        if k % 90 == 0:
+            own[k % 80] = "other"
+            rows.append((10_000 + k, " ".join(shared + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(dict(rows), 3, 85)
+    compared = []
+    real = near_dedup._apart
+    monkeypatch.setattr(near_dedup, "_apart", lambda members, s, every=False: (compared.append(members), real(members, s, every))[1])
+    monkeypatch.setattr(near_dedup, "HOT", 100)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(df, near_dedup.CONTRACT).collect()}
+    assert got == want and sum(not v[2] for v in want.values()) == 10
+    # Without longer bands all pairs of a bucket meet: millions.
+    sizes = [r["count"] for r in compared[0].groupBy("key").count().collect()]
+    assert sizes and sum(n * n for n in sizes) < 600 * len(rows)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_most_odd(percent):
     """Samples of pairs at the limit, from nearly the whole set to full bins."""
