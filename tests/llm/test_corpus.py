@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -331,9 +332,47 @@ def test_graph_recall():
     assert len(graph.layers) > 1
     arrays = {f"p{i}": p for i, (p, _) in enumerate(graph.layers)} | {f"n{i}": a for i, (_, a) in enumerate(graph.layers)}
     blob = vectors._pack(raw=raw, rep=np.arange(len(raw)), copies=np.ones(len(raw), int), **arrays)
-    _, links, edges, recall = vectors.link_cell(blob, blob, 0.9)
+    _, links, edges, (there, got) = vectors.link_cell(blob, blob, 0.9)
     truth = (x @ x.T >= 0.9).sum(axis=1) - 1
-    assert recall >= 0.99 and links.sum() >= 0.99 * truth.sum() and (links <= truth).all()
+    assert got >= 0.99 * there > 0 and links.sum() >= 0.99 * truth.sum() and (links <= truth).all()
+
+
+def test_planted_links(spark):
+    """Pairs, chains and a group much larger than the widest beam, over all shards, for vectors whose id divides by 20."""
+    rng = np.random.default_rng(5)
+    loose = rng.normal(size=(3000, 24))
+    pairs = loose[:300] + 0.1 * rng.normal(size=(300, 24))
+    group = rng.normal(size=24) + 0.12 * rng.normal(size=(4 * vectors.WIDEST, 24))
+    raw = np.concatenate([loose, pairs, group, group[:5]])
+    raw = raw[rng.permutation(len(raw))].astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(raw)], "vec_id long, embedding array<double>")
+    audits = []
+    got = {r["vec_id"]: r for r in vectors.groups(df, audits=audits).collect()}
+    x = vectors.unit(raw)
+    hits = x @ x.T >= 0.9
+    truth = hits.sum(axis=1) - 1
+    assert all(got[i]["n_links"] <= truth[i] for i in got)
+    asked = [i for i in got if i % 20 == 0]
+    assert sum(got[i]["n_links"] for i in asked) >= 0.99 * sum(truth[i] for i in asked) and sum(truth[i] > 0 for i in asked) > 100
+    single = [i for i in got if 0 < truth[i] < 5]
+    assert sum(got[i]["n_links"] for i in single) >= 0.98 * sum(truth[i] for i in single)
+    found = components(list(got), [(int(a), int(b)) for a, b in np.argwhere(hits) if a > b])
+    assert sum(got[i]["component_id"] == found[i] for i in got) >= 0.99 * len(got)
+    report = audits[0].agg(F.sum("there").alias("there"), F.sum("got").alias("got")).first()
+    assert audits[0].count() == 10 and report["got"] >= 0.9 * report["there"] > 0
+
+
+def test_dense_group():
+    """One group of many vectors, all within the limit: exact counts, one tree, in time that follows products of blocks."""
+    rng, start = np.random.default_rng(9), time.time()
+    raw = rng.normal(size=64) + 0.05 * rng.normal(size=(10_000, 64))
+    graph = vectors.Graph(vectors.unit(raw))
+    arrays = {f"p{i}": p for i, (p, _) in enumerate(graph.layers)} | {f"n{i}": a for i, (_, a) in enumerate(graph.layers)}
+    blob = vectors._pack(raw=raw, rep=np.arange(len(raw)), copies=np.ones(len(raw), int), **arrays)
+    built = time.time()
+    _, links, edges, _ = vectors.link_cell(blob, blob, 0.9)
+    assert (links == len(raw) - 1).all() and len(edges) == len(raw) - 1
+    print("dense group", built - start, time.time() - built)
 
 
 def test_pipeline(spark, sf):
