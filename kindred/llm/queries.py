@@ -120,3 +120,45 @@ WITH k AS (SELECT sha256({license_scan.canonical_sql("t")}) AS license_digest, m
 d AS (SELECT doc_id, sha256({license_scan.canonical_sql("text")}) AS license_digest FROM documents)
 SELECT doc_id, license_digest, license_id FROM d LEFT JOIN k USING (license_digest)
 """
+
+ORACLES["op2_embedding_dedup"] = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.dst, reach.c FROM reach JOIN l ON l.src = reach.id),
+m AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id), n AS (SELECT src, count(*) AS n_links FROM l GROUP BY src)
+SELECT id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM m LEFT JOIN n ON src = id
+"""
+
+_SPACE = "[\\x20\\x09-\\x0D]+"
+ORACLES["op9_near_dedup"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT src, dst FROM p JOIN n a ON a.doc_id = src JOIN n b ON b.doc_id = dst WHERE 100 * both_ >= 85 * (a.n + b.n - both_)),
+reach(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.dst, reach.c FROM reach JOIN l ON l.src = reach.id),
+m AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM m LEFT JOIN n ON doc_id = id
+"""
+
+# One line after another, in order, against those before it that stay.
+ORACLES["op5_line_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, i, ls[i] AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+w AS (SELECT doc_id, i, t, list_filter(string_split_regex(translate(t, '{url_filter.UPPER}', '{url_filter.LOWER}'), '{_SPACE}'), lambda z: z <> '') AS w FROM x),
+p AS MATERIALIZED (SELECT *, array_to_string(w, ' ') AS s, row_number() OVER (ORDER BY doc_id, i) AS pos FROM w WHERE len(w) > 0),
+u AS MATERIALIZED (SELECT s, min(pos) AS id, any_value(w) AS w FROM p GROUP BY s),
+c AS MATERIALIZED (SELECT id, len(w) AS n, j, array_to_string(list_concat(w[:j - 1], w[j + 1:]), ' ') AS v FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS j FROM u WHERE len(w) >= {line_dedup.MIN_WORDS})),
+e AS MATERIALIZED (SELECT DISTINCT least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.v = b.v AND a.j = b.j AND a.n = b.n AND a.id < b.id
+    UNION ALL SELECT u.id, c.id FROM u JOIN c ON u.s = c.v WHERE len(u.w) >= {line_dedup.MIN_WORDS})),
+k AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT lo AS id FROM e UNION SELECT hi FROM e)),
+b AS MATERIALIZED (SELECT k.k, k.id, coalesce(list(o.k) FILTER (WHERE o.k IS NOT NULL), []) AS nb FROM k LEFT JOIN e ON e.hi = k.id LEFT JOIN k o ON o.id = e.lo GROUP BY 1, 2),
+step(at, stay) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT at + 1, CASE WHEN list_has_any(stay, nb) THEN stay ELSE list_append(stay, at + 1) END FROM step JOIN b ON b.k = at + 1),
+stay AS (SELECT unnest(stay) AS k FROM (SELECT stay FROM step ORDER BY at DESC LIMIT 1)),
+gone AS MATERIALIZED (SELECT p.doc_id, p.i FROM p JOIN u USING (s) WHERE p.pos <> u.id OR u.id IN (SELECT id FROM b WHERE k NOT IN (SELECT k FROM stay))),
+left_ AS (SELECT x.doc_id, string_agg(t, chr(10) ORDER BY x.i) AS t FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i WHERE gone.i IS NULL GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN left_ USING (doc_id)
+"""
