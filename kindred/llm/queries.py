@@ -155,8 +155,8 @@ e AS MATERIALIZED (SELECT DISTINCT least(a, b) AS lo, greatest(a, b) AS hi FROM
     UNION ALL SELECT u.id, c.id FROM u JOIN c ON u.s = c.v WHERE len(u.w) >= {line_dedup.MIN_WORDS})),
 k AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT lo AS id FROM e UNION SELECT hi FROM e)),
 b AS MATERIALIZED (SELECT k.k, k.id, coalesce(list(o.k) FILTER (WHERE o.k IS NOT NULL), []) AS nb FROM k LEFT JOIN e ON e.hi = k.id LEFT JOIN k o ON o.id = e.lo GROUP BY 1, 2),
-step(at, stay) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT at + 1, CASE WHEN list_has_any(stay, nb) THEN stay ELSE list_append(stay, at + 1) END FROM step JOIN b ON b.k = at + 1),
-stay AS (SELECT unnest(stay) AS k FROM (SELECT stay FROM step ORDER BY at DESC LIMIT 1)),
+step(done, stay) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT done + 1, CASE WHEN list_has_any(stay, nb) THEN stay ELSE list_append(stay, done + 1) END FROM step JOIN b ON b.k = done + 1),
+stay AS (SELECT unnest(stay) AS k FROM (SELECT stay FROM step ORDER BY done DESC LIMIT 1)),
 gone AS MATERIALIZED (SELECT p.doc_id, p.i FROM p JOIN u USING (s) WHERE p.pos <> u.id OR u.id IN (SELECT id FROM b WHERE k NOT IN (SELECT k FROM stay))),
 left_ AS (SELECT x.doc_id, string_agg(t, chr(10) ORDER BY x.i) AS t FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i WHERE gone.i IS NULL GROUP BY 1),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
