@@ -149,12 +149,14 @@ def block_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return blocking.candidate_pairs(blocking.clean_blocks(blocking.generate_blocks(parts(spark, sf), PART, ("strong",)), 50))
+    """Pairs of all blocks, whatever their size: nothing is cleaned away as tables grow."""
+    return blocking.candidate_pairs(blocking.generate_blocks(parts(spark, sf), PART, ("strong",)))
 
 
 @query(f"WITH {PARTS} SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM parts a JOIN parts b ON a.bs = b.bs AND a.id < b.id WHERE a.bs IN (SELECT bs FROM parts GROUP BY bs HAVING count(*) <= 50)")
 def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return part_candidates(spark, sf)
+    """The limit on blocks is what is asked for here, and in the SQL."""
+    return blocking.candidate_pairs(blocking.clean_blocks(blocking.generate_blocks(parts(spark, sf), PART, ("strong",)), 50))
 
 
 # Pair features
@@ -234,7 +236,7 @@ def mean_imputation(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.impute(w, pairs.column_means(w, ["x_size"])).withColumn("x_size", F.round("x_size", R))
 
 
-@query(f"WITH {PART_PAIRS}, w AS ({WEAK_SQL}) SELECT id_a, id_b, CAST(a_brand = b_brand AS INT) AS y, x_words FROM w JOIN pp USING (id_a, id_b)")
+@query(f"WITH {PART_PAIRS} SELECT id_a, id_b, CAST(a_brand = b_brand AS INT) AS y, round(exp(-{N_WORDS}::DOUBLE), {R}) AS x_words FROM pp")
 def pair_matrix(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("cluster_id"))
     found, _ = pairs.pair_matrix(parts(spark, sf), labels, near_parts(spark, sf), PART, fill=False)
@@ -264,7 +266,7 @@ def pair_seed_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pair_seed(spark: SparkSession, sf: str) -> DataFrame:
     labels = clustering.strong_cluster(customers(spark, sf), CUSTOMER)
-    return pairs.pair_seed(customers(spark, sf), labels, CUSTOMER, 0.5, 500)
+    return pairs.pair_seed(customers(spark, sf), labels, CUSTOMER, 0.5)
 
 
 @query("SELECT a.vec_id AS id_a, b.vec_id AS id_b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
@@ -291,9 +293,14 @@ def connected_components_documents(spark: SparkSession, sf: str) -> DataFrame:
     return connected_components(d.join(least, "h").select(F.col("doc_id").alias("src"), "dst"))
 
 
-@query()
+LINE_EDGES = "SELECT DISTINCT l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem"
+
+
+@query(f"""WITH RECURSIVE e AS ({LINE_EDGES}), near_ AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e),
+l(id, c, r) AS (SELECT DISTINCT src, src, 0 FROM near_ UNION ALL SELECT near_.dst, min(l.c), l.r + 1 FROM l JOIN near_ ON near_.src = l.id WHERE l.r < 40 GROUP BY near_.dst, l.r)
+SELECT id, c AS component FROM l WHERE r = 40""")
 def bipartite_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders and parts, linked by line items. Reachability in SQL is too slow on one huge component; tests use a small one."""
+    """Orders and parts, linked by line items. The SQL spreads the least id over 40 links, more than any two are apart."""
     rows = table(spark, sf, "lineitem")
     return connected_components(rows.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")))
 
@@ -500,35 +507,35 @@ def precision_lower_bound(spark: SparkSession, sf: str) -> DataFrame:
 
 # MinHash
 
-MINI = 20
 TOKENS_SQL = "tk AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(lower(replace(text, chr(10), ' ')), ' '), lambda x: x <> ''))) AS token FROM documents), h AS (SELECT doc_id, CAST(concat('0x', substr(sha1(token), 1, 7)) AS BIGINT) AS h FROM tk)"
-SIG_SQL = f"{TOKENS_SQL}, sg AS (SELECT doc_id, [" + ", ".join(f"min((h * {a} + {b}) % {lsh.PRIME})" for a, b in lsh.family(MINI)) + "] AS signature FROM h GROUP BY doc_id)"
-JACCARD = f"len(list_filter(list_zip(a.signature, b.signature), lambda z: z[1] = z[2])) / {MINI}.0::DOUBLE"
+SIG_SQL = f"{TOKENS_SQL}, sg AS (SELECT doc_id, [" + ", ".join(f"min((h * {a} + {b}) % {lsh.PRIME})" for a, b in lsh.family()) + "] AS signature FROM h GROUP BY doc_id)"
+JACCARD = f"len(list_filter(list_zip(a.signature, b.signature), lambda z: z[1] = z[2])) / {lsh.PERMUTATIONS}.0::DOUBLE"
 
 
-def _band_sql(t: float) -> str:
-    parts_ = [f"SELECT doc_id, {k} AS band_no, sha1(array_to_string(signature[{at}:{at + n - 1}], ',')) AS band_hash FROM sg" for k, (at, n) in enumerate(lsh.bands(MINI, t))]
-    return f"{SIG_SQL}, bd AS ({' UNION ALL '.join(parts_)})"
+def _band_sql(t: float, sig: str = SIG_SQL) -> str:
+    parts_ = [f"SELECT doc_id, {k} AS band_no, sha1(array_to_string(signature[{at}:{at + n - 1}], ',')) AS band_hash FROM sg" for k, (at, n) in enumerate(lsh.bands(lsh.PERMUTATIONS, t))]
+    return f"{sig}{', ' if sig else ''}bd AS ({' UNION ALL '.join(parts_)})"
 
 
-def _link_sql(t: float) -> str:
+def _link_sql(t: float, sig: str = SIG_SQL) -> str:
     candidates = "SELECT DISTINCT x.doc_id AS id_a, y.doc_id AS id_b FROM bd x JOIN bd y USING (band_no, band_hash) WHERE x.doc_id < y.doc_id"
-    return f"{_band_sql(t)}, cd AS ({candidates}), jc AS (SELECT id_a, id_b, {JACCARD} AS jaccard FROM cd JOIN sg a ON a.doc_id = id_a JOIN sg b ON b.doc_id = id_b)"
+    return f"{_band_sql(t, sig)}, cd AS ({candidates}), jc AS (SELECT id_a, id_b, {JACCARD} AS jaccard FROM cd JOIN sg a ON a.doc_id = id_a JOIN sg b ON b.doc_id = id_b)"
 
 
-def _cluster_sql(t: float) -> str:
-    return component_sql(f"WITH {_link_sql(t)} SELECT id_a AS src, id_b AS dst FROM jc WHERE jaccard >= {t}", "SELECT doc_id AS id FROM documents")
+def _cluster_sql(t: float, sig: str = SIG_SQL) -> str:
+    return component_sql(f"WITH {_link_sql(t, sig)} SELECT id_a AS src, id_b AS dst FROM jc WHERE jaccard >= {t}", "SELECT doc_id AS id FROM documents")
 
 
 BAND_SQL, LINK_SQL, CLUSTER_SQL = _band_sql(0.7), _link_sql(0.7), _cluster_sql(0.7)
-SWEEP_SQL = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, record_id, cluster_id FROM ({_cluster_sql(t)})" for t in lsh.thresholds(0.5, 0.9, 3))
+STEPS = lsh.thresholds(0.5, 1.0, 30)
+SWEEP_SQL = f"WITH {SIG_SQL.replace('sg AS (', 'sg AS MATERIALIZED (')} " + " UNION ALL ".join(f"SELECT {t!r}::DOUBLE AS threshold, record_id, cluster_id FROM ({_cluster_sql(t, '')})" for t in STEPS)
 SUMMARY_SQL = f"""WITH {SIG_SQL}, cl AS MATERIALIZED (SELECT * FROM ({CLUSTER_SQL})), e AS (SELECT x.cluster_id, count(*) AS edges FROM cl x JOIN cl y ON x.cluster_id = y.cluster_id AND x.record_id < y.record_id
 JOIN sg a ON a.doc_id = x.record_id JOIN sg b ON b.doc_id = y.record_id WHERE {JACCARD} >= 0.7 GROUP BY 1) SELECT cl.cluster_id, count(*) AS size, coalesce(max(edges), 0) AS edges FROM cl LEFT JOIN e USING (cluster_id) GROUP BY 1"""
 
 
 def _doc_signatures(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return lsh.signatures(d.select("doc_id", annotated.tokens(F.col("text")).alias("tokens")), MINI)
+    return lsh.signatures(d.select("doc_id", annotated.tokens(F.col("text")).alias("tokens")))
 
 
 @query(f"WITH {SIG_SQL} SELECT * FROM sg")
@@ -538,42 +545,51 @@ def minhash_signature(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {BAND_SQL} SELECT * FROM bd")
 def lsh_bands(spark: SparkSession, sf: str) -> DataFrame:
-    return lsh.band_hashes(_doc_signatures(spark, sf), 0.7, MINI)
+    return lsh.band_hashes(_doc_signatures(spark, sf), 0.7)
 
 
 @query(f"WITH {LINK_SQL} SELECT * FROM cd")
 def lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return lsh.candidates(lsh.band_hashes(_doc_signatures(spark, sf), 0.7, MINI))
+    return lsh.candidates(lsh.band_hashes(_doc_signatures(spark, sf), 0.7))
 
 
 @query(f"WITH {LINK_SQL} SELECT * FROM jc")
 def minhash_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     sigs = Scratch(spark, "sigs").keep(_doc_signatures(spark, sf))
-    return lsh.with_jaccard(lsh.candidates(lsh.band_hashes(sigs, 0.7, MINI)), sigs)
+    return lsh.with_jaccard(lsh.candidates(lsh.band_hashes(sigs, 0.7)), sigs)
 
 
 @query(CLUSTER_SQL)
 def minhash_clusters(spark: SparkSession, sf: str) -> DataFrame:
     sigs = Scratch(spark, "sigs").keep(_doc_signatures(spark, sf))
-    return lsh.minhash_clusters(sigs, 0.7, MINI)
+    return lsh.minhash_clusters(sigs, 0.7)
 
 
 @query(SWEEP_SQL)
 def minhash_sweep(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", annotated.tokens(F.col("text")).alias("tokens"))
-    return lsh.sweep(d, lsh.thresholds(0.5, 0.9, 3), MINI)
+    return lsh.sweep(d, STEPS)
 
 
 @query(SUMMARY_SQL)
 def minhash_cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
     sigs = Scratch(spark, "sigs").keep(_doc_signatures(spark, sf))
-    return lsh.cluster_summary(lsh.minhash_clusters(sigs, 0.7, MINI), sigs, 0.7)
+    return lsh.cluster_summary(lsh.minhash_clusters(sigs, 0.7), sigs, 0.7)
 
 
-@query()
+MATCH_AUC_SQL = f"""WITH {SIG_SQL}, cl AS MATERIALIZED (SELECT * FROM ({CLUSTER_SQL}) WHERE record_id IN (SELECT doc_id FROM sg)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(CAST(record_id AS VARCHAR) || ':0'), record_id) AS r FROM cl),
+hd AS (SELECT cluster_id, min(CASE WHEN r = 1 THEN record_id END) AS a, min(CASE WHEN r = 2 THEN record_id END) AS b FROM rk GROUP BY cluster_id),
+kk AS (SELECT *, row_number() OVER o - 1 AS k, lead(a) OVER o AS c FROM hd WINDOW o AS (ORDER BY md5(CAST(cluster_id AS VARCHAR) || ':0'), cluster_id)),
+tr AS (SELECT a, b, c FROM kk WHERE k % 2 = 0 AND b IS NOT NULL AND c IS NOT NULL), pr AS (SELECT a AS id_a, b AS id_b, 1 AS y FROM tr UNION ALL SELECT a, c, 0 FROM tr),
+sc AS (SELECT y, {JACCARD} AS s FROM pr JOIN sg a ON a.doc_id = id_a JOIN sg b ON b.doc_id = id_b)
+SELECT round(sum(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END)::DOUBLE / count(*), {R}) AS auc FROM sc p, sc n WHERE p.y = 1 AND n.y = 0"""
+
+
+@query(MATCH_AUC_SQL)
 def minhash_match_auc(spark: SparkSession, sf: str) -> DataFrame:
     sigs = Scratch(spark, "sigs").keep(_doc_signatures(spark, sf))
-    return lsh.match_auc(lsh.minhash_clusters(sigs, 0.7, MINI), sigs)
+    return _rounded(lsh.match_auc(lsh.minhash_clusters(sigs, 0.7), sigs))
 
 
 # Samples
@@ -610,7 +626,7 @@ def synthetic_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def synthetic_text(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.corrupted_tokens(spark, 1000, 10, 0.3)
+    return sampling.corrupted_tokens(spark, 10_000, 10, 0.3)
 
 
 # Match functions and resolution
@@ -619,7 +635,7 @@ def synthetic_text(spark: SparkSession, sf: str) -> DataFrame:
 def _learn(spark: SparkSession, sf: str, kind) -> tuple:
     records = Scratch(spark, "parts").keep(parts(spark, sf))
     labels = table(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("cluster_id"))
-    seed = Scratch(spark, "seed").keep(pairs.pair_seed(records, labels, PART, 0.5, 500, direct=False))
+    seed = Scratch(spark, "seed").keep(pairs.pair_seed(records, labels, PART, 0.5, direct=False))
     return records, labels, seed, kind(records, labels, seed, PART, 0.5)
 
 
@@ -659,7 +675,7 @@ def _rule() -> matching.RuleMatch:
 @query(component_sql(f"WITH {PARTS} SELECT a.id AS src, b.id AS dst FROM parts a JOIN parts b ON a.bs = b.bs AND a.id < b.id WHERE len(list_intersect(a.words, b.words)) > 0", "SELECT p_partkey AS id FROM part"))
 def weak_components(spark: SparkSession, sf: str) -> DataFrame:
     records = parts(spark, sf)
-    return resolve.weak_components(records, _rule(), blocking.clean_blocks(blocking.generate_blocks(records, PART, ("strong",)), 1000))
+    return resolve.weak_components(records, _rule(), blocking.generate_blocks(records, PART, ("strong",)))
 
 
 @query(component_sql(f"WITH {PARTS} SELECT a.id AS src, b.id AS dst FROM parts a JOIN parts b ON a.bs = b.bs AND a.id < b.id WHERE len(list_intersect(a.words, b.words)) > 0", "SELECT p_partkey AS id FROM part"))
@@ -670,6 +686,16 @@ def match_and_merge(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.resolve(records, _rule(), blocks, PART)[1]
 
 
+@query()
+def supervised_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole of it: a forest learns from one half of the parts and resolves the other; metrics against strong clusters."""
+    from kindred.plans.experiment import run_pipeline
+
+    records = Scratch(spark, "parts").keep(parts(spark, sf))
+    train, test = (records.where(F.col("record_id") % 2 == k) for k in (0, 1))
+    return run_pipeline(train, test, PART)[2]
+
+
 SWEEP = [0.3, 0.5, 0.7]
 
 
@@ -685,4 +711,4 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 def experiment_sweep(spark: SparkSession, sf: str) -> DataFrame:
     from kindred.plans.experiment import synthetic_experiment
 
-    return synthetic_experiment(spark, 30, 5, 3, thresholds=[0.3, 0.7])
+    return synthetic_experiment(spark, 100, 10, 10, thresholds=[0.3, 0.7])

@@ -1,5 +1,6 @@
 """Operators on small tables with known results."""
 
+import hashlib
 import math
 
 import pytest
@@ -238,6 +239,11 @@ def test_minhash(spark):
     sigs = lsh.signatures(spark.createDataFrame(docs, "doc_id long, tokens array<string>")).cache()
     assert sigs.count() == 4
     assert partition(lsh.minhash_clusters(sigs, 0.7)) == {frozenset({0, 1, 2}), frozenset({3})}
+    plain = {i: [min((int(hashlib.sha1(t.encode()).hexdigest()[:7], 16) * a + b) % lsh.PRIME for t in tokens) for a, b in lsh.family()] for i, tokens in docs if tokens}
+    assert {r["doc_id"]: r["signature"] for r in sigs.collect()} == plain
+    swept = lsh.sweep(spark.createDataFrame(docs, "doc_id long, tokens array<string>"), [0.5, 0.7, 1.0]).cache()
+    for t in (0.5, 0.7, 1.0):
+        assert partition(swept.where(F.col("threshold") == t)) == partition(lsh.minhash_clusters(sigs, t))
     summary = {r["cluster_id"]: (r["size"], r["edges"]) for r in lsh.cluster_summary(lsh.minhash_clusters(sigs, 0.7), sigs, 0.7).collect()}
     assert summary == {0: (3, 3), 3: (1, 0)}
 
@@ -284,6 +290,40 @@ def test_match_and_merge(spark):
     assert entities.where("record_id = 0").first()["f_size"] == [1, 9]
 
 
+def test_merging_decides(spark):
+    """Records that match only once others are merged: components of matches don't join them, match-and-merge does."""
+    features = [Feature("w", "string", "weak", "block", "number_matches")]
+    rows = [(1, ["a", "b"]), (2, ["a", "b", "c"]), (3, ["d", "e"]), (4, ["c", "d", "e"]), (5, ["b", "c", "x"]), (6, ["y", "z"])]
+    rows += [(7, ["p", "q"]), (8, ["p", "q", "r"]), (9, ["q", "s", "t"]), (10, ["r", "s", "t"])]
+    records = spark.createDataFrame(rows, "record_id long, f_w array<string>").withColumn("members", F.array("record_id"))
+    rule = matching.RuleMatch(features, F.when(F.col("x_w") < math.exp(-1.5), 1.0).otherwise(0.0), 1.0, icar=True)
+    blocks = blocking.blocking_scheme(records, features, single_block=True)
+    apart = partition(resolve.weak_components(records, rule, blocks))
+    entities, labels = resolve.resolve(records, rule, blocks, features)
+    whole = partition(labels)
+
+    def merged():
+        """One by one, as long as any two share two words."""
+        left = [(frozenset({i}), frozenset(w)) for i, w in rows]
+        while hit := next(((x, y) for x in left for y in left if x != y and len(x[1] & y[1]) >= 2), None):
+            left = [v for v in left if v not in hit] + [(hit[0][0] | hit[1][0], hit[0][1] | hit[1][1])]
+        return {m for m, _ in left}
+
+    assert whole == merged() and whole != apart and len(whole) < len(apart)
+    assert {tuple(r["members"]) for r in entities.collect()} == {tuple(sorted(m)) for m in whole}
+
+
+def test_whole_pipeline(spark, sf):
+    from kindred.plans import linkage_queries as lq
+    from kindred.plans.experiment import run_pipeline
+
+    records = lq.parts(spark, sf).where("record_id <= 300")
+    entities, labels, report = run_pipeline(records.where("record_id % 2 = 0"), records.where("record_id % 2 = 1"), lq.PART)
+    assert labels.count() == 150 and entities.select(F.explode("members")).distinct().count() == 150
+    row = report.first()
+    assert report.count() == 1 and all(v is None or v >= 0 for k, v in row.asDict().items() if "pairwise" in k)
+
+
 def test_stream(spark, loaded, tmp_path):
     from kindred.streaming.blocks import resolve_batches
 
