@@ -108,3 +108,26 @@ def write_rates(curve: DataFrame, path: str) -> None:
 
 def write_scores(scored: DataFrame, path: str, score: str = "score", label: str = "label") -> None:
     scored.select(F.col(score).alias("score"), F.col(label).alias("true_label")).write.mode("overwrite").csv(path, header=True)
+
+
+def write_labels(scored: DataFrame, path: str, score: str = "score", label: str = "label") -> None:
+    """What a curve can be drawn from again: label,probability."""
+    scored.select(F.col(label).alias("label"), F.col(score).alias("probability")).write.mode("overwrite").csv(path, header=True)
+
+
+def bounds(found: DataFrame, scored: DataFrame, curve: DataFrame, threshold: float, balance_validation: float, balance_within: float) -> DataFrame:
+    """One row of bounds that need no truth: of recall from the curve, of precision from the share of direct matches among pairs
+    of a found cluster, and of F1; each with its interval where there is one; and the numbers of direct matches and of pairs.
+
+    found: (record_id, cluster_id). scored: (id_a, id_b, score) of candidates; pairs that weren't candidates are no match.
+    """
+    from kindred.operators.pairs import cluster_pairs
+
+    pairs = cluster_pairs(found).join(scored.select("id_a", "id_b", "score"), ["id_a", "id_b"], "left").select(F.coalesce(F.col("score") > threshold, F.lit(False)).alias("direct"))
+    recall = recall_at(curve, threshold)
+    recall = recall.select(*[F.col(c).alias(c.replace("recall", "recall_bound")) for c in recall.columns if c.startswith("recall")])
+    precision = precision_bound(pairs, precision_at(curve, threshold), balance_validation, balance_within)
+    precision = precision.select(*[F.col(c).alias(c.replace("precision", "precision_bound")) for c in precision.columns if c.startswith("precision")])
+    f1 = f1_bound(precision.select("precision_bound"), recall.select("recall_bound")).select(F.col("f1").alias("f1_bound"))
+    counts = pairs.agg(F.coalesce(F.sum(F.col("direct").cast("bigint")), F.lit(0)).alias("n_direct"), F.count("*").alias("n_pairs"))
+    return precision.crossJoin(recall).crossJoin(f1).crossJoin(counts)  # one row each

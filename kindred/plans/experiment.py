@@ -10,9 +10,9 @@ from kindred.operators.blocking import blocking_scheme, candidate_pairs
 from kindred.operators.clustering import merge_by, strong_cluster, with_singletons
 from kindred.operators.components import connected_components
 from kindred.operators.matching import ForestMatch
-from kindred.operators.pairs import cluster_pairs, pair_seed
+from kindred.operators.pairs import pair_seed
 from kindred.operators.resolve import weak_components
-from kindred.operators.roc import f1_bound, precision_at, precision_bound, recall_at
+from kindred.operators.roc import bounds
 from kindred.runtime import Scratch
 from kindred.spec import Feature
 
@@ -41,11 +41,7 @@ def threshold_sweep(records: DataFrame, truth: DataFrame, match, blocks: DataFra
     for t in thresholds:
         edges = scored.where(F.col("score") > t).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
         found = scratch.keep(with_singletons(connected_components(edges, scratch), records))
-        pairs = cluster_pairs(found).join(scored, ["id_a", "id_b"], "left").select(F.coalesce(F.col("score") > t, F.lit(False)).alias("direct"))
-        recall = recall_at(curve, t).select(F.col("recall").alias("recall_bound"))
-        bound = precision_bound(pairs, precision_at(curve, t), balance_validation, within).select(F.col("precision").alias("precision_bound"))
-        f1 = f1_bound(bound, recall).select(F.col("f1").alias("f1_bound"))
-        row = metrics.report(truth, found).crossJoin(bound).crossJoin(recall).crossJoin(f1).select(F.lit(float(t)).alias("threshold"), "*")
+        row = metrics.report(truth, found).crossJoin(bounds(found, scored, curve, t, balance_validation, within)).select(F.lit(float(t)).alias("threshold"), "*")  # one row each
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -65,3 +61,19 @@ def synthetic_experiment(spark, entities: int = 100, copies: int = 10, features:
     curve = match.test(valid, valid_y, seed)
     share = seed.agg(F.avg("y")).first()[0] or 0.5
     return threshold_sweep(test, test_y, match, blocking_scheme(test, spec, single_block=True), curve, thresholds or [0.1, 0.3, 0.5, 0.7, 0.9], share)
+
+
+SWEEP_COLUMNS = {
+    "threshold": "threshold", "pairwise_precision": "precision", "precision_bound": "precision_bound", "precision_bound_lo": "precision_bound_lo", "precision_bound_hi": "precision_bound_hi",
+    "pairwise_recall": "recall", "recall_bound": "recall_bound", "recall_bound_lo": "recall_bound_lo", "recall_bound_hi": "recall_bound_hi", "pairwise_f1": "f1", "f1_bound": "f1_bound",
+    "n_direct": "direct_matches", "n_pairs": "pairs",
+}
+
+
+def sweep_table(swept: DataFrame) -> DataFrame:
+    """The thirteen columns of a sweep that are kept as a table."""
+    return swept.select(*[F.col(c).alias(name) for c, name in SWEEP_COLUMNS.items()])
+
+
+def write_sweep(swept: DataFrame, path: str) -> None:
+    sweep_table(swept).orderBy("threshold").coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -324,6 +324,29 @@ def test_whole_pipeline(spark, sf):
     assert report.count() == 1 and all(v is None or v >= 0 for k, v in row.asDict().items() if "pairwise" in k)
 
 
+def test_sinks_and_command_line(spark, tmp_path):
+    from kindred.plans import near_duplicates
+    from kindred.plans.experiment import SWEEP_COLUMNS, synthetic_experiment, write_sweep
+
+    text = tmp_path / "docs.txt"
+    lines = [" ".join(f"w{k}_{i}" for i in range(40)) for k in (0, 0, 1, 1, 2)]
+    text.write_text("\n".join(lines) + "\n")
+    (tmp_path / "labels.txt").write_text("0\n0\n1\n1\n2\n")
+    near_duplicates.main([str(text), str(tmp_path / "out"), "--low", "0.6", "--high", "0.8", "--steps", "2", "--labels", str(tmp_path / "labels.txt")], spark)
+    got = spark.read.csv(str(tmp_path / "out/summary/threshold=0.8"), header=True, inferSchema=True)
+    assert sorted((r["cluster"], r["size"], r["edges"]) for r in got.collect()) == [(0, 2, 1), (2, 2, 1), (4, 1, 0)]
+    assert spark.read.csv(str(tmp_path / "out/clusters"), header=True).count() == 10
+    assert float(spark.read.csv(str(tmp_path / "out/match_auc"), header=True).first()["auc"]) == 1.0
+    scored = spark.createDataFrame([(0.25, 1), (0.75, 0)], "score double, label int")
+    roc.write_labels(scored, str(tmp_path / "labels"))
+    again = spark.read.csv(str(tmp_path / "labels"), header=True, inferSchema=True)
+    assert again.columns == ["label", "probability"] and {tuple(r) for r in again.collect()} == {(1, 0.25), (0, 0.75)}
+    write_sweep(synthetic_experiment(spark, 12, 5, 3, thresholds=[0.3, 0.7]), str(tmp_path / "sweep"))
+    swept = spark.read.csv(str(tmp_path / "sweep"), header=True, inferSchema=True)
+    assert swept.columns == list(SWEEP_COLUMNS.values()) and len(swept.columns) == 13
+    assert all(0 <= r["precision_bound"] <= 1 and r["direct_matches"] <= r["pairs"] for r in swept.collect())
+
+
 def test_stream(spark, loaded, tmp_path):
     from kindred.streaming.blocks import resolve_batches
 
