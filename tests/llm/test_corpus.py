@@ -398,3 +398,26 @@ def test_pipeline(spark, sf):
     coded = stages["sentencepiece"](spark, mixed, sf)
     assert coded.count() == mixed.count() and coded.columns == ["doc_id", "n_tokens", "ids"]
     assert all(len(r["ids"]) == r["n_tokens"] and r["ids"][-1] == 2 for r in coded.collect())
+
+
+def test_stages_on_odd_rows(spark, sf, odd_documents):
+    """Nulls, empties, a very long text, ties, repeated rows, clashing names and empty tables, stage by stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = odd_documents.columns
+    odd = odd_documents.withColumns({c: F.lit("clash") for c in ("__k", "__doc", "__drop", "__gone", "__lines")}).cache()
+    stages = dict(pipeline.STAGES)
+    want = {
+        "toxicity": [1, 2, 3, 4, 5, 5, 6, 7, 8, 9], "line_dedup": [1, 2, 3, 4, 5, 5, 7, 8, 9],
+        "near_dedup": [1, 2, 3, 4, 5, 5, 7, 8, 9],
+    }
+    for name in ("toxicity", "line_dedup", "near_dedup", "mixing"):
+        out = stages[name](spark, odd, sf)
+        assert out.columns == odd.columns and stages[name](spark, odd.limit(0), sf).count() == 0
+        got = sorted(r["doc_id"] for r in out.select("doc_id", *names[1:3]).collect())
+        if name in want:
+            assert got == want[name], name
+        else:
+            assert not {1, 2, 3} & set(got) and max(Counter(got).values()) <= 6
+        assert {r["__drop"] for r in out.select("__drop").collect()} == {"clash"}
+    coded = {r["doc_id"]: r["n_tokens"] for r in stages["sentencepiece"](spark, odd, sf).collect()}
+    assert coded[1] == coded[2] == 1 and coded[4] > 60_000 and stages["sentencepiece"](spark, odd.limit(0), sf).count() == 0
