@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -122,27 +121,22 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=own, compression_params=settings)
 
 
-def train(documents: list[bytes], share: float, least: int) -> bytes:
-    """A zstandard dictionary of documents, each given as the joined codes it has.
+def train(joined: bytes | pa.Buffer, documents: int, share: float, least: int) -> bytes:
+    """A zstandard dictionary of documents, given as the joined codes that each has, one document after another.
 
     Codes in fewer documents than both bounds ask for are left out, and there is room for all others. Every code is a sample of
     its own, so no piece of the dictionary straddles two. The trainer lets its header overwrite the pieces that it takes first,
-    from the first samples; filling in front of them takes that loss.
+    from the first samples; filling in front of them takes that loss. Equal codes are one object, so millions take little room.
     """
-    samples = [d[k : k + CODE] for d in documents for k in range(0, len(d), CODE)]
-    line = max(least, share * len(documents))
-    counts = Counter(samples)
-    samples = [x for x in samples if counts[x] >= line]
-    room = sum(n >= line for n in counts.values()) + _HEADER
-    stretch = len(samples) // room + 2
-    filling = [xxhash.xxh3_128_digest(b"filling %d" % i) for i in range(_HEADER) for _ in range(stretch)]
-    return zstandard.train_dictionary(room * CODE, filling + samples, k=CODE, d=8, f=24, accel=1).as_bytes()
-
-
-def train_both(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
-    """The dictionaries of toxic and of ordinary documents."""
-    toxic = train([codes for codes, y in rows if y], TOXIC_SHARE, TOXIC_LEAST)
-    return toxic, train([codes for codes, y in rows if not y], ORDINARY_SHARE, ORDINARY_LEAST)
+    codes = np.frombuffer(joined, np.uint64).reshape(-1, 2) if len(joined) else np.zeros((0, 2), np.uint64)
+    _, first, which, counts = np.unique(codes[:, 0], return_index=True, return_inverse=True, return_counts=True)
+    fine = counts >= max(least, share * documents)
+    names = [codes[k].tobytes() if ok else None for k, ok in zip(first, fine)]
+    which = which[fine[which]].astype(np.int32)
+    room = int(fine.sum()) + _HEADER
+    samples = [xxhash.xxh3_128_digest(b"filling %d" % i) for i in range(_HEADER) for _ in range(len(which) // room + 2)]
+    samples += map(names.__getitem__, which)
+    return zstandard.train_dictionary(room * CODE, samples, k=CODE, d=8, f=23, accel=1).as_bytes()
 
 
 def sketch(text: str | None, n: int = 3) -> list[int]:
@@ -201,15 +195,20 @@ def _order(row: dict) -> bytes:
 
 
 def _models(traits: DataFrame, folds: dict) -> list[Model]:
-    """Without weights: for each fold, a model of the others, and at the end one of all. Training is spread over the executors."""
+    """Without weights: for each fold, a model of the others, and at the end one of all. The sample is bounded, and training takes
+    memory, so one task makes them one after another and no executor holds two at a time."""
 
     def build(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        rows = sorted((r for r in table.select(["key", "y", "codes"]).to_pylist() if folds.get(r["key"], part) != part), key=_order)
-        toxic, ordinary = train_both([(r["codes"], r["y"]) for r in rows])
-        return pa.table({"part": pa.array([part], pa.int32()), "toxic": pa.array([toxic], pa.binary()), "ordinary": pa.array([ordinary], pa.binary())})
-
-    parts = traits.select("key", "y", "codes", F.explode(F.lit(list(range(FOLDS + 1)))).alias("part"))
+        keys, ys = table["key"].to_pylist(), table["y"].to_pylist()
+        order = sorted((k for k in range(len(keys)) if folds.get(keys[k], part) != part), key=lambda k: _order({"key": keys[k]}))
+        out = []
+        for y, share, least in ((1, TOXIC_SHARE, TOXIC_LEAST), (0, ORDINARY_SHARE, ORDINARY_LEAST)):
+            own = [k for k in order if ys[k] == y]
+            out.append(train(b"".join(table["codes"][k].as_buffer() for k in own), len(own), share, least))
+        return pa.table({"part": pa.array([part], pa.int32()), "toxic": pa.array(out[:1], pa.binary()), "ordinary": pa.array(out[1:], pa.binary())})
+
+    parts = traits.select("key", "y", "codes", F.explode(F.lit(list(range(FOLDS + 1)))).alias("part")).repartition(1)
     rows = parts.groupBy("part").applyInArrow(build, "part int, toxic binary, ordinary binary").collect()
     return [Model(bytes(r["toxic"]), bytes(r["ordinary"]), []) for r in sorted(rows, key=lambda r: r["part"])]
 

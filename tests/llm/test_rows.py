@@ -255,11 +255,11 @@ def test_dictionary_holds_its_codes():
     rng, words = random.Random(2), [xxhash.xxh3_128_digest(f"w{k}") for k in range(1000)]
     documents = [b"".join(w for k, w in enumerate(words) if rng.random() < 1 / (1 + k / 20)) for _ in range(300)]
     counts = Counter(w for w in words for d in documents if w in d)
-    built = toxicity.train(documents, 0.05, 3)
+    built = toxicity.train(b"".join(documents), len(documents), 0.05, 3)
     held = {w for w in words if w[2:-2] in built}
     line = {w for w, n in counts.items() if n >= 15}
     assert held <= line and len(held) >= 0.75 * len(line) and set(words[:50]) <= held
-    assert len(toxicity.train([b"", words[0]], 0.5, 3)) > 100
+    assert len(toxicity.train(b"", 0, 0.5, 3)) > 100
 
 
 def test_classifiers_on_odd_rows(spark, odd_documents):
