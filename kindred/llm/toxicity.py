@@ -133,9 +133,11 @@ def train(joined: bytes | pa.Buffer, documents: int, share: float, least: int) -
     fine = counts >= max(least, share * documents)
     names = [codes[k].tobytes() if ok else None for k, ok in zip(first, fine)]
     which = which[fine[which]].astype(np.int32)
+    del joined, codes
     room = int(fine.sum()) + _HEADER
     samples = [xxhash.xxh3_128_digest(b"filling %d" % i) for i in range(_HEADER) for _ in range(len(which) // room + 2)]
     samples += map(names.__getitem__, which)
+    del which
     return zstandard.train_dictionary(room * CODE, samples, k=CODE, d=8, f=23, accel=1).as_bytes()
 
 
@@ -196,20 +198,19 @@ def _order(row: dict) -> bytes:
 
 def _models(traits: DataFrame, folds: dict) -> list[Model]:
     """Without weights: for each fold, a model of the others, and at the end one of all. The sample is bounded, and training takes
-    memory, so one task makes them one after another and no executor holds two at a time."""
-
-    def build(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        keys, ys = table["key"].to_pylist(), table["y"].to_pylist()
-        order = sorted((k for k in range(len(keys)) if folds.get(keys[k], part) != part), key=lambda k: _order({"key": keys[k]}))
-        out = []
-        for y, share, least in ((1, TOXIC_SHARE, TOXIC_LEAST), (0, ORDINARY_SHARE, ORDINARY_LEAST)):
-            own = [k for k in order if ys[k] == y]
-            out.append(train(b"".join(table["codes"][k].as_buffer() for k in own), len(own), share, least))
-        return pa.table({"part": pa.array([part], pa.int32()), "toxic": pa.array(out[:1], pa.binary()), "ordinary": pa.array(out[1:], pa.binary())})
-
-    parts = traits.select("key", "y", "codes", F.explode(F.lit(list(range(FOLDS + 1)))).alias("part")).repartition(1)
-    rows = parts.groupBy("part").applyInArrow(build, "part int, toxic binary, ordinary binary").collect()
+    memory, so one task reads it once, without a shuffle, and makes them one after another; no executor holds two at a time."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()) if r[0] in folds]
+        rows.sort(key=lambda r: _order({"key": r[0]}))
+        for part in range(FOLDS + 1):
+            pair = []
+            for y, share, least in ((1, TOXIC_SHARE, TOXIC_LEAST), (0, ORDINARY_SHARE, ORDINARY_LEAST)):
+                own = [codes for k, of, codes in rows if of == y and folds[k] != part]
+                pair.append(train(b"".join(own), len(own), share, least))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([d], pa.binary()) for d in pair)], names=["part", "toxic", "ordinary"])
+
+    rows = traits.select("key", "y", "codes").coalesce(1).mapInArrow(build, "part int, toxic binary, ordinary binary").collect()
     return [Model(bytes(r["toxic"]), bytes(r["ordinary"]), []) for r in sorted(rows, key=lambda r: r["part"])]
 
 

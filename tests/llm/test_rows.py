@@ -262,6 +262,28 @@ def test_dictionary_holds_its_codes():
     assert len(toxicity.train(b"", 0, 0.5, 3)) > 100
 
 
+def test_training_reads_its_sample_once(spark, sf):
+    """Training moves no codes between tasks: copies of them for each fold took too much of an executor's memory."""
+    docs, codes = spark.read.parquet(f"{sf}/documents.parquet").limit(80), toxicity.Codes()
+    rows = [(r["doc_id"], k % 2, b"".join(dict.fromkeys(toxicity.recode(r["text"], codes)))) for k, r in enumerate(docs.collect())]
+    traits = spark.createDataFrame(rows, "key long, y int, codes binary")
+    folds = {r[0]: k % toxicity.FOLDS for k, r in enumerate(rows[:72])}
+    context = spark.sparkContext._jsc.sc()
+
+    def moved():
+        context.listenerBus().waitUntilEmpty(30_000)
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    before = moved()
+    models = toxicity._models(traits, folds)
+    assert moved() == before and len(models) == toxicity.FOLDS + 1
+    for part, model in enumerate(models):
+        own = [[c for k, y, c in sorted(rows, key=lambda r: toxicity._order({"key": r[0]})) if y == value and folds.get(k, part) != part] for value in (1, 0)]
+        assert model.toxic == toxicity.train(b"".join(own[0]), len(own[0]), toxicity.TOXIC_SHARE, toxicity.TOXIC_LEAST)
+        assert model.ordinary == toxicity.train(b"".join(own[1]), len(own[1]), toxicity.ORDINARY_SHARE, toxicity.ORDINARY_LEAST)
+
+
 def test_classifiers_on_odd_rows(spark, odd_documents):
     texts = [(i, prose(i, 60) + (" stupid moron" if i % 2 else ""), i % 2) for i in range(100, 300)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
