@@ -275,6 +275,11 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+#: A filter on the text that is left isn't pushed below it: that would run it twice, in two Python workers of each task, and
+#: workers stay, with what they hold.
+_without = _without.asNondeterministic()
+
+
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", least: int = MIN_WORDS) -> DataFrame:
     """documents with the text that is left, and behind them the numbers of lines before and dropped, __lines and __gone.
 

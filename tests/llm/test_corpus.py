@@ -400,6 +400,16 @@ def test_pipeline(spark, sf):
     assert all(len(r["ids"]) == r["n_tokens"] and r["ids"][-1] == 2 for r in coded.collect())
 
 
+def test_lines_are_taken_out_once(spark, odd_documents):
+    """The stage's filter on what is left runs no second Python node; each would hold another worker for each core."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    out = pipeline.dedup_lines(spark, odd_documents, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    rows = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert 6 not in rows and rows[9] == "one two\n\nÄ é 😀" and rows[1] is None and rows[2] == ""
+
+
 def test_stages_on_odd_rows(spark, sf, odd_documents):
     """Nulls, empties, a very long text, ties, repeated rows, clashing names and empty tables, stage by stage."""
     pipeline = pytest.importorskip("corpus_pipeline")
