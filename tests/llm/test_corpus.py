@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.llm import line_dedup, mixing, near_dedup, shingles, vectors
+from kindred.llm import hashed, line_dedup, mixing, near_dedup, shingles, vectors
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -362,6 +362,51 @@ def test_planted_links(spark):
     assert audits[0].count() == 10 and report["got"] >= 0.9 * report["there"] > 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_large_tables(spark, monkeypatch, kind):
+    """What tables beyond the graphs' bound get: pairs at the limit, a group that meets everywhere, copies, odd rows, other lengths."""
+    monkeypatch.setattr(vectors, "GRAPH_ROWS", 1000)
+    monkeypatch.setattr(hashed, "SHARD_ROWS", 1000)
+    rng = np.random.default_rng(15)
+    loose = vectors.unit(rng.normal(size=(2500, 48)))
+    off = rng.normal(size=(1200, 48))
+    off -= (off * loose[:1200]).sum(axis=1, keepdims=True) * loose[:1200]
+    pairs = 0.901 * loose[:1200] + np.sqrt(1 - 0.901**2) * vectors.unit(off)
+    group = rng.normal(size=48) + 0.1 * rng.normal(size=(1500, 48))
+    raw = np.concatenate([loose, pairs, group, group[:5], loose[:5]]).astype(np.float32)
+    zero = np.zeros(48, np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(raw[rng.permutation(len(raw))])]
+    rows += [(9001, None), (9002, []), (9003, zero.tolist()), (9004, [float("nan")] * 48), (9005, [None] + [1.0] * 47), (9006, [float("inf")] * 48), (9007, [1.0, 0.0]), (9008, [2.0, -0.0]), (9009, [2.0, 0.0]), (9010, [-1.0, 0.0])]
+    audits = []
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.groups(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), audits=audits).collect()}
+    assert sorted(got) == [i for i, _ in rows]
+    ids = [i for i, _ in rows if i < 9000]
+    x = vectors.unit(np.array([v for i, v in rows if i < 9000]))
+    hits = x @ x.T >= 0.9
+    truth = hits.sum(axis=1) - 1
+    assert all(got[i][0] <= truth[i] for i in ids) and sum(got[i][0] for i in ids if truth[i] < 20) >= 0.985 * truth[truth < 20].sum() > 2000
+    assert all(got[i][0] == truth[i] for i in ids if truth[i] > 1000)
+    found = components(ids, [(int(a), int(b)) for a, b in np.argwhere(hits) if a > b])
+    assert sum(got[i][1] == found[i] for i in ids) >= 0.985 * len(ids)
+    assert all(got[i] == (0, i, True) for i in (*range(9001, 9007), 9010)) and [got[i] for i in (9007, 9008, 9009)] == [(2, 9007, True), (2, 9007, False), (2, 9007, False)]
+    report = audits[0].agg(F.count("*").alias("n"), F.sum("there").alias("there"), F.sum("got").alias("got")).first()
+    assert report["n"] == 21 and report["got"] >= 0.97 * report["there"] > 0
+
+
+def test_large_tables_take_little_time():
+    """Two shards of random vectors; a graph of one alone took over 20 seconds."""
+    rng, start = np.random.default_rng(2), time.process_time()
+    known, sides = hashed.planes(64), []
+    for _ in range(2):
+        raw = rng.normal(size=(20_000, 64)).astype(np.float32)
+        found, signs = hashed.keys(vectors.unit(raw), known)
+        sides.append(hashed.Side(raw, np.arange(len(raw)), np.ones(len(raw), int), found, signs))
+    sides[0].index()
+    _, links, (there, got) = hashed.join(*sides, False, 0.9, vectors.Forest(40_000))
+    took = time.process_time() - start
+    assert got >= 0.95 * there > 0 and not links.any() and took < 15, took
+
+
 def test_dense_group():
     """One group of many vectors, all within the limit: exact counts, one tree, in time that follows products of blocks."""
     rng, start = np.random.default_rng(9), time.time()
