@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import similarity as sim
-from kindred.operators import blocking, clustering, lsh, matching, metrics, pairs, resolve, roc, sampling
+from kindred.operators import blocking, clustering, groups, lsh, matching, metrics, pairs, resolve, roc, sampling
 from kindred.operators.components import connected_components
 from kindred.sources import annotated
 from kindred.spec import Feature
@@ -365,3 +365,73 @@ def test_entry(spark, sf):
 
     assert entry.entry(spark).columns == ["record_id", "cluster_id"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_seed_of_huge_clusters(spark):
+    ids = spark.range(0, 300_000, 1, 4)
+    records = ids.select(F.col("id").alias("record_id"), F.array("id").alias("members"), F.array((F.col("id") % 3).cast("string")).alias("f_s"))
+    labels = ids.select(F.col("id").alias("record_id"), F.least(F.floor(F.col("id") / 290_000), F.lit(1)).alias("cluster_id"))
+    spec = [Feature("s", "string", "strong", "block", "binary_match")]
+    for direct in (False, True):  # 4e10 pairs
+        got = pairs.pair_seed(records, labels, spec, 0.5, 500, direct=direct).collect()
+        assert len({(r["id_a"], r["id_b"]) for r in got}) == len(got) == 1000 and sum(r["y"] for r in got) == 500
+        for r in got:
+            assert r["id_a"] < r["id_b"] and r["y"] == int((r["id_a"] >= 290_000) == (r["id_b"] >= 290_000))
+            assert not (direct and r["y"]) or r["id_a"] % 3 == r["id_b"] % 3
+
+
+def test_seed_counts_and_draws(spark, monkeypatch):
+    rows = [(i, [i], [i % 7, i % 5][: i % 3], ["x"] if i % 4 == 0 else []) for i in range(60)]
+    records = spark.createDataFrame(rows, "record_id long, members array<long>, f_n array<bigint>, f_t array<string>")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "record_id long, cluster_id long")
+    spec = [Feature("n", "int", "strong", "block", "number_matches"), Feature("t", "string", "strong", "block", "binary_match")]
+
+    def plain(unknown):
+        out = set()
+        for a, _, n, t in rows:
+            for b, _, m, u in rows:
+                if a < b and a % 2 == b % 2:
+                    known = [set(x) & set(y) for x, y in ((n, m), (t, u)) if x and y]
+                    if any(known) or (unknown and not known):
+                        out.add((a, b))
+        return out
+
+    for unknown in (True, False):
+        want = plain(unknown)
+        for listed in (10**6, 1):
+            monkeypatch.setattr(pairs, "LISTED", listed)
+            count, draw = pairs._positives(labels, records, spec, True, unknown, pairs.Scratch(spark, "test"))
+            assert count == len(want)
+            few = [(r["id_a"], r["id_b"]) for r in draw(len(want) // 9, 0).collect()]
+            assert len(few) == len(set(few)) >= len(want) // 9 and set(few) <= want
+            assert {(r["id_a"], r["id_b"]) for r in draw(len(want), 0).collect()} == want
+
+
+def test_cluster_pairs_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(groups, "TASK_IDS", 1_000_000)
+    labels = spark.range(6000).select(F.col("id").alias("record_id"), F.when(F.col("id") < 5000, 0).otherwise(F.col("id")).alias("cluster_id"))
+    got = pairs.cluster_pairs(labels)
+    assert got.distinct().count() == got.count() == 5000 * 4999 // 2
+    most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < got.count() / 2  # one large cluster isn't one task's work
+    assert pairs.cluster_pairs(labels.where("false")).count() == 0
+
+
+def test_groups_are_their_records(spark):
+    rows = [(i, ["w" + str(i % 3), "v" + str(i % 4)], [i % 6, i % 10]) for i in range(90)]
+    records = spark.createDataFrame(rows, "record_id long, f_w array<string>, f_k array<bigint>")
+    spec = [Feature("w", "string", "weak", "", "number_matches"), Feature("k", "int", "strong", "block", "binary_match")]
+    blocks = blocking.generate_blocks(records, spec, ("strong",))
+    candidates = {(r["id_a"], r["id_b"]) for r in blocking.candidate_pairs(blocks).collect()}
+    assert candidates == {(a, b) for a, _, m in rows for b, _, n in rows if a < b and set(m) & set(n)}
+    for expression, limit in ((F.col("x_w"), 0.9), (F.when(F.col("id_a") % 2 == 0, F.col("x_w")), 0.9), (F.when(F.col("strong"), 1 - F.col("x_w")), 0.5)):
+        rule = matching.RuleMatch(spec, expression, limit)
+        want = sorted(map(tuple, rule.score(blocking.candidate_pairs(blocks), records).collect()), key=repr)
+        assert sorted(map(tuple, rule.score_blocks(blocks, records).collect()), key=repr) == want
+        edges = spark.createDataFrame([(a, b) for a, b, _, m in want if m], "src long, dst long")
+        whole = clustering.with_singletons(connected_components(edges), records)
+        assert partition(resolve.weak_components(records, rule, blocks)) == partition(whole)
+    met = groups.meet(groups.sliced(groups.block_groups(blocks, records, ["f_w"]), pairs.Scratch(spark, "test")))
+    assert groups.first_block(met).agg(F.sum(groups.pair_count())).first()[0] == len(candidates)
+    alike = records.withColumn("f_w", F.array(F.lit("w"))).withColumn("f_k", F.array(F.lit(1).cast("bigint")))
+    assert groups.block_groups(blocking.generate_blocks(alike, spec, ("strong",)), alike, ["f_w"]).count() == 1
