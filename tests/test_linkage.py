@@ -435,3 +435,15 @@ def test_groups_are_their_records(spark):
     assert groups.first_block(met).agg(F.sum(groups.pair_count())).first()[0] == len(candidates)
     alike = records.withColumn("f_w", F.array(F.lit("w"))).withColumn("f_k", F.array(F.lit(1).cast("bigint")))
     assert groups.block_groups(blocking.generate_blocks(alike, spec, ("strong",)), alike, ["f_w"]).count() == 1
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from kindred.operators import components
+
+    monkeypatch.setattr(components, "HOT", 20)
+    rows = [(0, i) for i in range(1, 60)] + [(i, 500) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 230)] + [(7, 200), (900, 901)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    assert [r[0] for r in components._hot(edges, "dst", len(rows)).collect()] == [500] and components._hot(edges, "src", 20) is None
+    got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
+    want = {i: 0 for i in [*range(60), *range(200, 231)]} | {i: 100 for i in [*range(100, 160), 500]} | {900: 900, 901: 900}
+    assert got == want
